@@ -220,7 +220,6 @@ def burst_origins(bursts: DataFrame, window_ms: int = 5000) -> DataFrame:
     """
     window_us = window_ms * 1000
     never = F.lit(2**63 - 1)
-    group = (F.col("cell") - F.pmod("cell", F.lit(CELLS_PER_GROUP))) / F.lit(CELLS_PER_GROUP)
     flat = bursts.select(
         "service",
         F.col("onset.t").alias("on_t"),
@@ -230,7 +229,7 @@ def burst_origins(bursts: DataFrame, window_ms: int = 5000) -> DataFrame:
         F.coalesce("closed.t", never).alias("cl_t"),
         F.coalesce("closed.s", never).alias("cl_s"),
         cell_of(F.col("onset.t"), window_us + 1).alias("cell"),
-    ).withColumn("grp", group.cast("bigint"))
+    ).withColumn("grp", cell_of(F.col("cell"), CELLS_PER_GROUP))
     # The last cell of a group is also read, without asking, by the group after it.
     edge = F.pmod("cell", F.lit(CELLS_PER_GROUP)) == CELLS_PER_GROUP - 1
     own = F.struct(F.col("grp"), F.lit(True).alias("asks"))
@@ -394,3 +393,23 @@ def detect_cascades(events: DataFrame, window_ms: int = 5000, seq: str = "seq")
     return attach(events, mark_new(origins).drop("by_trace"), seq).withColumn(
         "new_cascade", F.coalesce("new_cascade", F.lit(False))
     )
+
+
+def drift_origins(
+    events: DataFrame, window_ms: int, tolerance_ms: int, seq: str = "seq"
+) -> DataFrame:
+    """Errors whose origin is found only with the window widened by the tolerance.
+
+    Columns as `cascade_origins`, plus drift_warning. Errors with an origin inside the plain window
+    keep that one and are not repeated here.
+    """
+    key = ["service", "t", "s"]
+    inside = cascade_origins(events, window_ms, seq).select(*key)
+    return (
+        cascade_origins(events, window_ms + tolerance_ms, seq)
+        .join(inside, key, "left_anti")
+        .withColumn(
+            "drift_warning",
+            F.lit(f"origin up to {tolerance_ms} ms outside the {window_ms} ms window"),
+        )
+    )

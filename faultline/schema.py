@@ -62,7 +62,7 @@ def micros(col: Column | str = "ts") -> Column:
 
 def cell_of(micros_col: Column, width: int) -> Column:
     """Index of the fixed-width time cell, exact in 64-bit integers."""
-    return ((micros_col - F.pmod(micros_col, F.lit(width))) / F.lit(width)).cast("bigint")
+    return F.call_function("div", micros_col - F.pmod(micros_col, F.lit(width)), F.lit(width))
 
 
 def as_event(df: DataFrame, *extra: str) -> DataFrame:

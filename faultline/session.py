@@ -17,7 +17,9 @@ def build_session(app: str = "faultline", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
