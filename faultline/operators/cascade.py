@@ -43,51 +43,52 @@ def _narrow(events: DataFrame, seq: str) -> DataFrame:
 
 
 def error_cells(narrow: DataFrame, window_us: int) -> DataFrame:
-    """One row per service and non-empty cell, with the burst each error cell belongs to.
+    """One row per service and cell with errors: onset (µs) of the burst the cell belongs to.
 
-    A service has at most one row per W+1 µs of log time, however many events it wrote.
+    A service has at most one row per W+1 µs of log time, however many events it wrote. Only 64-bit
+    values are aggregated, so the fold over all events is a hash aggregation.
     """
-    width = window_us + 1
-    pos = F.struct("t", "s")
-    err_pos = F.when(F.col("err"), pos)
+    t, err = F.col("t"), F.col("err")
     cells = (
-        narrow.withColumn("cell", cell_of(F.col("t"), width))
-        .groupBy("service", "cell")
+        narrow.groupBy("service", cell_of(t, window_us + 1).alias("cell"))
         .agg(
-            F.min(pos).alias("first_any"),
-            F.max("t").alias("last_any_t"),
-            F.min(err_pos).alias("first_err"),
-            F.max(err_pos).alias("last_err"),
-            F.count_if("err").alias("errors"),
+            F.min("t").alias("first_any"),
+            F.max("t").alias("last_any"),
+            F.min(F.when(err, t)).alias("first_err"),
+            F.max(F.when(err, t)).alias("last_err"),
+            F.count_if(err).alias("errors"),
+            F.count_if(err & F.col("trace_id").isNull()).alias("untraced"),
         )
     )
     order = Window.partitionBy("service").orderBy("cell")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = (F.col("errors") > 0) & (
-        F.col("prev_err").isNull() | (F.col("first_err.t") - F.col("prev_err") > F.lit(window_us))
+        F.col("prev_err").isNull() | (F.col("first_err") - F.col("prev_err") > F.lit(window_us))
     )
-    follow = F.struct("cell", "first_any", "last_any_t")
     return (
         cells.withColumns(
             {
-                "prev_err": F.last("last_err.t", ignorenulls=True).over(before),
-                "next1": F.lead(follow, 1).over(order),
-                "next2": F.lead(follow, 2).over(order),
+                "prev_err": F.last("last_err", ignorenulls=True).over(before),
+                "next_cell": F.lead("cell", 1).over(order),
+                "next_first": F.lead("first_any", 1).over(order),
+                "next_last": F.lead("last_any", 1).over(order),
+                "then_cell": F.lead("cell", 2).over(order),
+                "then_first": F.lead("first_any", 2).over(order),
             }
         )
         .withColumn("onset_here", F.when(starts, F.col("first_err")))
         .withColumn("onset", F.last("onset_here", ignorenulls=True).over(upto))
         .where(F.col("errors") > 0)
-        .drop("onset_here", "prev_err")
+        .drop("onset_here", "prev_err", "first_any", "last_any")
     )
 
 
 def error_bursts(events: DataFrame, window_ms: int = 5000, seq: str = "seq") -> DataFrame:
     """Error bursts per service: errors no more than the window apart.
 
-    Columns: service, onset and last (struct t, s), errors, closed (struct t, s; NULL while open) —
-    the event at which other services stop seeing the burst.
+    Columns: service, onset and last (struct t, s), errors, untraced, closed (struct t, s; NULL
+    while open) — the event at which other services stop seeing the burst.
     """
     narrow = _narrow(events, seq)
     return _bursts(narrow, materialize(error_cells(narrow, window_ms * 1000)), window_ms * 1000)
@@ -95,56 +96,79 @@ def error_bursts(events: DataFrame, window_ms: int = 5000, seq: str = "seq") ->
 
 def _bursts(narrow: DataFrame, cells: DataFrame, window_us: int) -> DataFrame:
     width = window_us + 1
-    ends = F.struct("cell", "last_err", "next1", "next2")
+    following = ("next_cell", "next_first", "next_last", "then_cell", "then_first")
+    shuts = F.col("last") + width
+    # The first event later than last + W is in the next cell, or opens a cell after it.
+    inside = (F.col("next_cell") == F.col("end_cell") + 1) & (F.col("next_first") < F.col("shuts"))
+    split = inside & (F.col("next_last") >= F.col("shuts"))
     bursts = materialize(
         cells.groupBy("service", "onset")
-        .agg(F.max_by(ends, "cell").alias("end"), F.sum("errors").alias("errors"))
+        .agg(
+            F.max("last_err").alias("last"),
+            F.sum("errors").alias("errors"),
+            F.sum("untraced").alias("untraced"),
+            F.max("cell").alias("end_cell"),
+            *[F.max_by(c, "cell").alias(c) for c in following],
+        )
+        .withColumn("shuts", shuts)
         .select(
             "service",
             "onset",
+            "last",
             "errors",
-            F.col("end.last_err").alias("last"),
-            F.col("end.cell").alias("cell"),
-            (F.col("end.last_err.t") + F.lit(width)).alias("shuts"),
-            F.col("end.next1").alias("next1"),
-            F.col("end.next2").alias("next2"),
+            "untraced",
+            "end_cell",
+            F.when(inside & ~split, F.col("then_cell")).otherwise(F.col("next_cell")).alias("cl_cell"),
+            F.when(split, F.col("shuts"))
+            .when(inside, F.col("then_first"))
+            .otherwise(F.col("next_first"))
+            .alias("cl_low"),
+            F.when(split, F.col("next_last"))
+            .when(inside, F.col("then_first"))
+            .otherwise(F.col("next_first"))
+            .alias("cl_high"),
         )
     )
-    adjacent = F.col("next1.cell") == F.col("cell") + 1
-    # Only when the limit falls between the events of the next cell do its rows have to be read.
-    split = adjacent & (F.col("next1.first_any.t") < F.col("shuts")) & (
-        F.col("next1.last_any_t") >= F.col("shuts")
-    )
-    by_cells = (
-        F.when(F.col("next1.first_any.t") >= F.col("shuts"), F.col("next1.first_any"))
-        .when(adjacent, F.col("next2.first_any"))
-    )
-    to_read = bursts.where(split).select(
-        F.col("service").alias("b_service"),
-        (F.col("cell") + 1).alias("b_cell"),
-        F.col("onset").alias("b_onset"),
-        F.col("shuts").alias("b_shuts"),
-    )
-    read = (
-        narrow.select("service", "t", "s", cell_of(F.col("t"), width).alias("cell"))
+
+    # The sequence numbers at the three times of a burst are read from the rows of their cells.
+    def read(part: str, cell, low, high):
+        return F.struct(
+            F.lit(part).alias("part"), cell.alias("r_cell"), low.alias("low"), high.alias("high")
+        )
+
+    onset, last = F.col("onset"), F.col("last")
+    reads = bursts.select(
+        F.col("service").alias("r_service"),
+        F.col("onset").alias("r_onset"),
+        F.explode(
+            F.array(
+                read("onset", cell_of(onset, width), onset, onset),
+                read("last", F.col("end_cell"), last, last),
+                read("closed", F.col("cl_cell"), F.col("cl_low"), F.col("cl_high")),
+            )
+        ).alias("r"),
+    ).select("r_service", "r_onset", "r.*").where(F.col("r_cell").isNotNull())
+    here = F.struct("t", "s")
+    found = (
+        narrow.select("service", "t", "s", "err", cell_of(F.col("t"), width).alias("cell"))
         .join(
-            to_read,
-            (F.col("service") == F.col("b_service"))
-            & (F.col("cell") == F.col("b_cell"))
-            & (F.col("t") >= F.col("b_shuts")),
+            reads,
+            (F.col("service") == F.col("r_service"))
+            & (F.col("cell") == F.col("r_cell"))
+            & F.col("t").between(F.col("low"), F.col("high"))
+            & (F.col("err") | (F.col("part") == "closed")),
+        )
+        .groupBy("r_service", "r_onset")
+        .agg(
+            F.min(F.when(F.col("part") == "onset", here)).alias("onset"),
+            F.max(F.when(F.col("part") == "last", here)).alias("last"),
+            F.min(F.when(F.col("part") == "closed", here)).alias("closed"),
         )
-        .groupBy("b_service", "b_onset")
-        .agg(F.min(F.struct("t", "s")).alias("row_closed"))
-    )
-    return bursts.join(
-        read, (F.col("service") == F.col("b_service")) & (F.col("onset") == F.col("b_onset")), "left"
-    ).select(
-        "service",
-        "onset",
-        "last",
-        "errors",
-        F.when(split, F.col("row_closed")).otherwise(by_cells).alias("closed"),
     )
+    counts = bursts.select("service", F.col("onset").alias("on_t"), "errors", "untraced")
+    return found.join(
+        counts, (F.col("r_service") == F.col("service")) & (F.col("r_onset") == F.col("on_t"))
+    ).select("service", "onset", "last", "errors", "untraced", "closed")
 
 
 def _ranks(*pairs: tuple[pd.Series, pd.Series]) -> list[np.ndarray]:
@@ -200,7 +224,6 @@ def _candidate_search(window_us: int):
             {
                 "service": of["service"],
                 "on_t": of["on_t"],
-                "on_s": of["on_s"],
                 "origin": by["service"],
                 "o_t": by["on_t"],
                 "o_s": by["on_s"],
@@ -215,7 +238,8 @@ def _candidate_search(window_us: int):
 def burst_origins(bursts: DataFrame, window_ms: int = 5000) -> DataFrame:
     """For each burst, the bursts of other services that began up to the window before it.
 
-    Columns: service, onset, candidates (array of struct onset, origin, closed in onset order). The
+    Columns: service, onset (µs), candidates (array of struct onset, origin, closed in onset order);
+    only for bursts with untraced errors, as the others never ask. The
     origin of an error in the burst is the first candidate already begun and not yet closed.
     """
     window_us = window_ms * 1000
@@ -228,11 +252,12 @@ def burst_origins(bursts: DataFrame, window_ms: int = 5000) -> DataFrame:
         F.col("last.s").alias("la_s"),
         F.coalesce("closed.t", never).alias("cl_t"),
         F.coalesce("closed.s", never).alias("cl_s"),
+        (F.col("untraced") > 0).alias("asks"),
         cell_of(F.col("onset.t"), window_us + 1).alias("cell"),
     ).withColumn("grp", cell_of(F.col("cell"), CELLS_PER_GROUP))
     # The last cell of a group is also read, without asking, by the group after it.
     edge = F.pmod("cell", F.lit(CELLS_PER_GROUP)) == CELLS_PER_GROUP - 1
-    own = F.struct(F.col("grp"), F.lit(True).alias("asks"))
+    own = F.struct(F.col("grp"), F.col("asks"))
     after = F.struct((F.col("grp") + 1).alias("grp"), F.lit(False).alias("asks"))
     spread = flat.withColumn(
         "to", F.explode(F.when(edge, F.array(own, after)).otherwise(F.array(own)))
@@ -241,7 +266,7 @@ def burst_origins(bursts: DataFrame, window_ms: int = 5000) -> DataFrame:
     )
     found = spread.groupBy("grp").applyInPandas(
         _candidate_search(window_us),
-        "service string, on_t bigint, on_s bigint, origin string, "
+        "service string, on_t bigint, origin string, "
         "o_t bigint, o_s bigint, cl_t bigint, cl_s bigint",
     )
     # A burst has at most one candidate per other service.
@@ -250,9 +275,9 @@ def burst_origins(bursts: DataFrame, window_ms: int = 5000) -> DataFrame:
         F.col("origin"),
         F.struct(F.col("cl_t").alias("t"), F.col("cl_s").alias("s")).alias("closed"),
     )
-    return found.groupBy(
-        "service", F.struct(F.col("on_t").alias("t"), F.col("on_s").alias("s")).alias("onset")
-    ).agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
+    return found.groupBy("service", F.col("on_t").alias("onset")).agg(
+        F.sort_array(F.collect_list(candidate)).alias("candidates")
+    )
 
 
 def trace_first_error(events: DataFrame, seq: str = "seq") -> DataFrame:
@@ -306,7 +331,7 @@ def cascade_origins(events: DataFrame, window_ms: int = 5000, seq: str = "seq")
         .select("service", "t", "s", "cell", head.alias("head"))
         .where(F.col("head.first_error") < here)
         .join(onsets, in_cell)
-        .where((F.col("onset.t") - F.col("head.first_error.t")).between(0, window_us))
+        .where((F.col("onset") - F.col("head.first_error.t")).between(0, window_us))
         .select("service", "t", "s", F.col("head.service").alias("cascade_from"))
     )
 
@@ -321,7 +346,7 @@ def cascade_origins(events: DataFrame, window_ms: int = 5000, seq: str = "seq")
     # Keep, per cell, the candidates some error of the cell can still choose.
     live = F.filter(
         "candidates",
-        lambda c: (c["closed"] > F.col("first_err")) & (c["onset"] < F.col("last_err")),
+        lambda c: (c["closed"]["t"] >= F.col("first_err")) & (c["onset"]["t"] <= F.col("last_err")),
     )
     by_cell = materialize(
         asked.select(

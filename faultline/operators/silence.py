@@ -20,6 +20,9 @@ from faultline.session import materialize
 # Fixed value: events needed in the older half before a drop is judged.
 MIN_IN_BASELINE = 5
 
+# Most cells the log is cut into to find the next check; a table of this size is safe to broadcast.
+CHECK_CELLS = 50_000
+
 # Order at one instant: counts expire, then events arrive, then a tick looks.
 _EXPIRY, _ARRIVAL, _TICK = 0, 1, 2
 
@@ -31,7 +34,7 @@ def _drop_pct(recent: Column, older: Column, half_minutes: float) -> Column:
 
 
 def _changes(e: Column, half: int) -> Column:
-    """The three changes of one event at `e`: (at, kind, recent, older, arrivals)."""
+    """The three changes of one event at `e`: (at, kind, recent, older, arrived)."""
 
     def change(at: Column, kind: int, recent: int, older: int) -> Column:
         return F.struct(
@@ -39,6 +42,7 @@ def _changes(e: Column, half: int) -> Column:
             F.lit(kind).alias("kind"),
             F.lit(recent).cast("bigint").alias("recent"),
             F.lit(older).cast("bigint").alias("older"),
+            F.lit(int(kind == _ARRIVAL)).cast("bigint").alias("arrived"),
         )
 
     return F.array(
@@ -49,41 +53,40 @@ def _changes(e: Column, half: int) -> Column:
 
 
 def _cell_states(named: DataFrame, half: int, width: int) -> DataFrame:
-    """Per service and cell with changes: the counts before it and the first change after it."""
+    """Per service and cell with changes: the counts before it and where the next changes are.
+
+    Only 64-bit values are aggregated, so the fold over all events is a hash aggregation.
+    """
     # Events on the last tick of a cell expire one cell later than the others of the cell.
     folded = named.groupBy(
         "service",
         cell_of(F.col("t"), width).alias("e_cell"),
         (F.pmod("t", F.lit(width)) == width - 1).alias("on_edge"),
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("t", "s")).alias("first"),
-        F.max(F.struct("t", "s")).alias("last"),
-    )
-    changes = folded.select(
-        "service",
-        "n",
-        F.col("first.s").alias("s"),
-        "last",
-        F.explode(_changes(F.col("first.t"), half)).alias("c"),
-    ).select("service", "n", "s", "last", "c.*")
-    per_cell = changes.groupBy("service", cell_of(F.col("at"), width).alias("cell")).agg(
-        F.sum(F.col("n") * F.col("recent")).alias("d_recent"),
-        F.sum(F.col("n") * F.col("older")).alias("d_older"),
-        F.coalesce(F.sum(F.when(F.col("recent") < 0, F.col("n"))), F.lit(0)).alias("aging"),
-        F.max(F.when(F.col("kind") == _ARRIVAL, F.col("last"))).alias("last_arrival"),
-        F.min(F.struct("at", "kind", "s")).alias("first_change"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
+    changes = folded.select("service", "n", F.explode(_changes(F.col("first"), half)).alias("c"))
+    n = F.col("n")
+    per_cell = changes.groupBy("service", cell_of(F.col("c.at"), width).alias("cell")).agg(
+        F.sum(n * F.col("c.recent")).alias("d_recent"),
+        F.sum(n * F.col("c.older")).alias("d_older"),
+        F.sum(n * F.col("c.arrived")).alias("d_gap"),
+        F.coalesce(F.sum(F.when(F.col("c.recent") < 0, n)), F.lit(0)).alias("aging"),
+        F.min("c.at").alias("first_at"),
     )
     order = Window.partitionBy("service").orderBy("cell")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def so_far(column: str) -> Column:
+        return F.coalesce(F.sum(column).over(before), F.lit(0))
+
     return per_cell.select(
         "service",
         "cell",
         "aging",
-        F.coalesce(F.sum("d_recent").over(before), F.lit(0)).alias("recent0"),
-        F.coalesce(F.sum("d_older").over(before), F.lit(0)).alias("older0"),
-        F.max("last_arrival").over(before).alias("arrival0"),
-        F.lead("first_change").over(order).alias("next_cell_change"),
+        so_far("d_recent").alias("recent0"),
+        so_far("d_older").alias("older0"),
+        so_far("d_gap").alias("gap0"),
+        F.lead("cell").over(order).alias("next_cell"),
+        F.lead("first_at").over(order).alias("next_at"),
     )
 
 
@@ -92,7 +95,7 @@ def _quiet_stretches(
 ) -> DataFrame:
     """Stretches between two changes in which the drop holds.
 
-    Columns: service, older, recent, gap (position of the service's last event), from and until
+    Columns: service, older, recent, gap (number of the service's events so far), from and until
     (position structs at, kind, s; until NULL at the end of the log).
     """
     half_minutes = half / 60e6
@@ -105,59 +108,117 @@ def _quiet_stretches(
             & (_drop_pct(least_recent, most_older, half_minutes) >= threshold_pct)
         )
     )
-    cells = possible.select(
-        F.col("service").alias("c_service"),
-        F.col("cell").alias("c_cell"),
-        "recent0",
-        "older0",
-        "arrival0",
-        "next_cell_change",
+    # Rows are read from the possible cells, and at the first instant of the cell after each.
+    after = possible.where(F.col("next_cell").isNotNull()).select(
+        "service", F.col("next_cell").alias("cell"), F.col("next_at").alias("only_at")
+    )
+    wanted = (
+        possible.select("service", "cell", F.lit(None).cast("bigint").alias("only_at"))
+        .unionByName(after)
+        .select(F.col("service").alias("w_service"), F.col("cell").alias("w_cell"), "only_at")
+    )
+    changes = materialize(
+        named.select("service", "t", "s", F.explode(_changes(F.col("t"), half)).alias("c"))
+        .select("service", "s", "c.*")
+        .withColumn("cell", cell_of(F.col("at"), width))
+        .join(
+            wanted,
+            (F.col("service") == F.col("w_service"))
+            & (F.col("cell") == F.col("w_cell"))
+            & (F.col("only_at").isNull() | (F.col("at") == F.col("only_at"))),
+        )
+        .drop("w_service", "w_cell")
     )
-    changes = named.select(
-        "service", "t", "s", F.explode(_changes(F.col("t"), half)).alias("c")
-    ).select("service", "t", "s", "c.*")
-    changes = changes.withColumn("cell", cell_of(F.col("at"), width)).join(
-        cells, (F.col("service") == F.col("c_service")) & (F.col("cell") == F.col("c_cell"))
+    position = F.struct("at", "kind", "s")
+    openings = (
+        changes.where(F.col("only_at").isNotNull())
+        .groupBy(F.col("service").alias("n_service"), F.col("cell").alias("n_cell"))
+        .agg(F.min(position).alias("next_change"))
     )
-    arrival = F.when(F.col("kind") == _ARRIVAL, F.struct("t", "s"))
     swept = running(
-        changes.drop("c_service", "c_cell"),
+        changes.where(F.col("only_at").isNull()).drop("only_at"),
         ["service", "cell"],
         ["at", "kind", "s"],
         {
             "d_recent": Run("sum", "recent"),
             "d_older": Run("sum", "older"),
-            "arrived": Run("max", arrival),
-            "following": Run("next", F.struct("at", "kind", "s")),
+            "d_gap": Run("sum", "arrived"),
+            "following": Run("next", position),
         },
     )
-    recent = F.col("recent0") + F.col("d_recent")
-    older = F.col("older0") + F.col("d_older")
-    return swept.select(
-        "service",
-        older.alias("older"),
-        recent.alias("recent"),
-        F.greatest("arrived", "arrival0").alias("gap"),
-        F.struct("at", "kind", "s").alias("from"),
-        F.coalesce("following", "next_cell_change").alias("until"),
-    ).where(
-        (F.col("older") >= MIN_IN_BASELINE)
-        & (_drop_pct(F.col("recent"), F.col("older"), half_minutes) >= threshold_pct)
+    states = possible.select(
+        F.col("service").alias("c_service"),
+        F.col("cell").alias("c_cell"),
+        "recent0",
+        "older0",
+        "gap0",
+        "next_cell",
+    )
+    in_cell = (F.col("service") == F.col("c_service")) & (F.col("cell") == F.col("c_cell"))
+    into = (F.col("service") == F.col("n_service")) & (F.col("next_cell") == F.col("n_cell"))
+    return (
+        swept.join(states, in_cell)
+        .select(
+            "service",
+            (F.col("older0") + F.col("d_older")).alias("older"),
+            (F.col("recent0") + F.col("d_recent")).alias("recent"),
+            (F.col("gap0") + F.col("d_gap")).alias("gap"),
+            position.alias("from"),
+            "following",
+            "next_cell",
+        )
+        .where(
+            (F.col("older") >= MIN_IN_BASELINE)
+            & (_drop_pct(F.col("recent"), F.col("older"), half_minutes) >= threshold_pct)
+        )
+        .join(openings, into, "left")
+        .select(
+            "service",
+            "older",
+            "recent",
+            "gap",
+            "from",
+            F.coalesce("following", "next_change").alias("until"),
+        )
     )
 
 
-def next_check(asked: DataFrame, checks: DataFrame, width: int) -> DataFrame:
+def next_check(asked: DataFrame, checks: DataFrame, first_t: int, last_t: int) -> DataFrame:
     """(look_from, found): the first check at or after each distinct `look_from`, in µs.
 
-    `checks` has t and s; `found` is struct (at, kind, s). A forward as-of join as one backward
-    sweep: rows of the cells that are asked about, and only the first check of every other cell.
+    `checks` has t and s, with t from `first_t` to `last_t`; `found` is struct (at, kind, s). A
+    forward as-of join as one backward sweep, over the checks of the asked cells and the first
+    checks of the next cell that has any. The log is cut into at most CHECK_CELLS cells.
     """
+    width = max(1, -(-(last_t - first_t + 1) // CHECK_CELLS))
     points = asked.select("look_from").distinct()
     placed = checks.select("t", "s", cell_of(F.col("t"), width).alias("cell"))
-    asked_cells = points.select(cell_of(F.col("look_from"), width).alias("a_cell")).distinct()
-    near = placed.join(asked_cells, F.col("cell") == F.col("a_cell")).select("t", "s")
-    firsts = placed.groupBy("cell").agg(F.min(F.struct("t", "s")).alias("p")).select("p.t", "p.s")
-    marks = near.unionByName(firsts).select(
+    cells = placed.groupBy("cell").agg(F.min("t").alias("first")).unionByName(
+        points.select(
+            cell_of(F.col("look_from"), width).alias("cell"), F.lit(None).cast("bigint").alias("first")
+        )
+    )
+    # At most CHECK_CELLS rows here, so one task can order them.
+    per_cell = cells.groupBy("cell").agg(
+        F.min("first").alias("first"), F.bool_or(F.col("first").isNull()).alias("asks")
+    )
+    filled = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = per_cell.withColumn("later", F.min("first").over(filled)).where("asks")
+    wanted = (
+        nearest.select("cell", F.lit(None).cast("bigint").alias("only_t"))
+        .unionByName(
+            nearest.where(F.col("later").isNotNull()).select(
+                cell_of(F.col("later"), width).alias("cell"), F.col("later").alias("only_t")
+            )
+        )
+        .groupBy(F.col("cell").alias("w_cell"))
+        .agg(F.min("only_t").alias("only_t"), F.bool_or(F.col("only_t").isNull()).alias("whole"))
+    )
+    near = placed.join(
+        F.broadcast(wanted),
+        (F.col("cell") == F.col("w_cell")) & (F.col("whole") | (F.col("t") == F.col("only_t"))),
+    )
+    marks = near.select(
         F.col("t").alias("at"), F.lit(_ARRIVAL).alias("kind"), "s"
     ).unionByName(
         points.select(
@@ -197,9 +258,9 @@ def detect_silence(
         present("service").alias("service"), micros().alias("t"), F.col(seq).cast("bigint").alias("s")
     )
     named = all_rows.where(F.col("service").isNotNull())
-    start = all_rows.agg(F.min("t")).first()[0]
+    start, end = all_rows.agg(F.min("t"), F.max("t")).first()
     if start is None:
-        start = 0
+        start = end = 0
     active_from = start + baseline_us
 
     stretches = _quiet_stretches(named, half, width, threshold_pct).withColumn(
@@ -214,12 +275,12 @@ def detect_silence(
                 F.lit(_TICK).alias("kind"),
                 F.lit(None).cast("bigint").alias("s"),
             ),
-        ).where(F.col("found.at") <= all_rows.agg(F.max("t")).first()[0])
+        ).where(F.col("found.at") <= end)
     else:
         stretches = materialize(stretches)
         at_once = (F.col("from.kind") == _ARRIVAL) & (F.col("from.at") >= active_from)
         later = stretches.where(~at_once)
-        found = next_check(later, all_rows.select("t", "s"), width)
+        found = next_check(later.where(F.col("look_from") <= end), all_rows.select("t", "s"), start, end)
         seen = stretches.where(at_once).withColumn("found", F.col("from")).unionByName(
             later.join(found, "look_from").select(*stretches.columns, "found")
         )

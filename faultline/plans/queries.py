@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from faultline.functions.severity import parse_severity, severity_text
 from faultline.functions.timestamps import parse_timestamp
 from faultline.operators import align, anomaly, cascade, rates, report, silence
 from faultline.plans import landed
-from faultline.plans.correlate import Settings, correlate, error_signals, signal_history
+from faultline.plans.correlate import Settings, annotate, correlate, detect, signal_history
 from faultline.plans.tables import base_events, log_events
 from faultline.schema import is_error
 from faultline.session import materialize
@@ -36,6 +37,7 @@ SETTINGS = Settings(
     baseline_us=ANOMALY_US,
     silence=False,
 )
+ALL_SIGNALS = replace(SETTINGS, silence=True, silence_us=SILENCE_US, silence_threshold_pct=SILENCE_PCT)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -412,8 +414,7 @@ def silence_ticks(spark, sf_dir):
 @query("correlate")
 def correlated(spark, sf_dir):
     ev = log_events(spark, sf_dir)
-    quiet = _silence(spark, sf_dir)
-    out = correlate(ev, SETTINGS, silence=quiet)
+    out = correlate(ev, ALL_SIGNALS)
     return out.select(
         F.col("seq").alias("event_id"),
         _us().alias("ts_us"),
@@ -432,20 +433,22 @@ def correlated(spark, sf_dir):
 @query("run_summary")
 def run_summary(spark, sf_dir):
     ev = log_events(spark, sf_dir)
-    return report.run_summary(correlate(ev, SETTINGS), _silence(spark, sf_dir))
+    found = detect(ev, ALL_SIGNALS)
+    return report.run_summary(annotate(ev, found), found.silence)
 
 
 @query("signal_history")
 def history(spark, sf_dir):
     ev = log_events(spark, sf_dir)
-    out = signal_history(correlate(ev, SETTINGS), _silence(spark, sf_dir))
+    found = detect(ev, ALL_SIGNALS)
+    out = signal_history(annotate(ev, found), found.silence)
     return out.select(_us().alias("ts_us"), "signal_type", "service", "cascade_from")
 
 
 @query("suppress")
 def suppressed(spark, sf_dir):
     ev = log_events(spark, sf_dir)
-    found = error_signals(ev, SETTINGS).select(
+    found = detect(ev, SETTINGS).signals.select(
         F.timestamp_micros("t").alias("ts"), "s", "service", "signal_type"
     )
     rules = spark.createDataFrame(
