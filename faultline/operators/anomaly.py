@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.cascade import attach
+from faultline.operators.cascade import attach, error_table
 from faultline.operators.rates import cell_sums, cell_width, count_cells, trailing_counts
-from faultline.schema import is_error, micros
 from faultline.session import materialize
 
 # Errors needed in the span, and in its older half, before a rate is compared.
@@ -15,24 +14,25 @@ MIN_IN_SPAN = 10
 MIN_IN_BASELINE = 5
 
 
-def error_rows(events: DataFrame, seq: str = "seq") -> DataFrame:
-    """Errors as (k, t, s). Events without a service form one group of their own."""
-    return events.where(is_error()).select(
-        F.coalesce("service", F.lit("")).alias("k"),
-        micros().alias("t"),
-        F.col(seq).cast("bigint").alias("s"),
-    )
+def error_rows(errors: DataFrame) -> DataFrame:
+    """The error table as (k, t, s). Errors without a service form one group of their own."""
+    return errors.select(F.coalesce("service", F.lit("")).alias("k"), "t", "s")
 
 
 def find_anomalies(
-    events: DataFrame, baseline_us: int, multiplier: float = 10.0, seq: str = "seq"
+    events: DataFrame,
+    baseline_us: int,
+    multiplier: float = 10.0,
+    seq: str = "seq",
+    errors: DataFrame | None = None,
 ) -> DataFrame:
     """Positions of anomalous errors: service, t, s, older, recent.
 
     The cell counts give limits for every error in a cell; cells in which no error can reach the
-    multiple are dropped, so in a healthy log almost no row is ranked exactly.
+    multiple are dropped, so in a healthy log almost no row is ranked exactly. `errors` takes the
+    `error_table` of the events if it is already at hand.
     """
-    rows = error_rows(events, seq)
+    rows = error_rows(error_table(events, seq) if errors is None else errors)
     per_half, width = cell_width(baseline_us)
     sums = cell_sums(count_cells(rows, width), per_half)
     most_recent = F.col("n") + F.col("recent_full") + F.col("at_half")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.schema import cell_of, is_error, micros, present
-from faultline.session import materialize
+from faultline.session import materialize, side_by_side
 
 # The search below runs in Python workers, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +42,18 @@ def _narrow(events: DataFrame, seq: str) -> DataFrame:
     )
 
 
+def error_table(events: DataFrame, seq: str = "seq") -> DataFrame:
+    """Errors as a written narrow table (service, t, s, trace_id), for all detectors to share."""
+    return materialize(
+        events.where(is_error()).select(
+            present("service").alias("service"),
+            micros().alias("t"),
+            F.col(seq).cast("bigint").alias("s"),
+            present("trace_id").alias("trace_id"),
+        )
+    )
+
+
 def error_cells(narrow: DataFrame, window_us: int) -> DataFrame:
     """One row per service and cell with errors: onset (µs) of the burst the cell belongs to.
 
@@ -285,6 +297,7 @@ def trace_first_error(events: DataFrame, seq: str = "seq") -> DataFrame:
     return _trace_first(_narrow(events, seq).where("err"))
 
 
+
 def _trace_first(errors: DataFrame) -> DataFrame:
     return (
         errors.where(F.col("trace_id").isNotNull())
@@ -306,16 +319,28 @@ def trace_heads(first_errors: DataFrame) -> DataFrame:
     )
 
 
-def cascade_origins(events: DataFrame, window_ms: int = 5000, seq: str = "seq") -> DataFrame:
+def cascade_origins(
+    events: DataFrame,
+    window_ms: int = 5000,
+    seq: str = "seq",
+    errors: DataFrame | None = None,
+) -> DataFrame:
     """Errors that follow another service's errors: service, t, s, cascade_from, by_trace.
 
     A trace decides by itself: the earliest other service on it is taken before the window is
-    tested, and an error with a trace never falls back to burst overlap.
+    tested, and an error with a trace never falls back to burst overlap. `errors` takes the
+    `error_table` of the events if it is already at hand.
     """
     window_us = window_ms * 1000
     narrow = _narrow(events, seq)
-    cells = materialize(error_cells(narrow, window_us))
-    errors = narrow.where("err").withColumn("cell", cell_of(F.col("t"), window_us + 1))
+    cells, errors = side_by_side(
+        events.sparkSession,
+        lambda: materialize(error_cells(narrow, window_us)),
+        lambda: error_table(events, seq) if errors is None else errors,
+    )
+    errors = errors.where(F.col("service").isNotNull()).withColumn(
+        "cell", cell_of(F.col("t"), window_us + 1)
+    )
     here = F.struct("t", "s")
 
     heads = trace_heads(_trace_first(errors)).withColumnRenamed("trace_id", "h_trace")

@@ -243,12 +243,13 @@ def detect_silence(
     check: str = "events",
     tick_us: int = 1_000_000,
     seq: str = "seq",
+    log_start_us: int | None = None,
 ) -> DataFrame:
     """One row per service and gap in which it went silent.
 
     Columns: service, t, s (where it was noticed; s is NULL for a tick), older, recent, drop_pct,
     baseline_rate, current_rate (events per minute). Nothing is reported in the first span of the
-    log. `check="tick"` needs no other service's events and is the cheaper choice for long logs.
+    log, counted from `log_start_us` or else the first event. `check="tick"` needs no other service's events and is the cheaper choice for long logs.
     """
     if check not in ("events", "tick"):
         raise ValueError("check must be 'events' or 'tick'")
@@ -261,7 +262,7 @@ def detect_silence(
     start, end = all_rows.agg(F.min("t"), F.max("t")).first()
     if start is None:
         start = end = 0
-    active_from = start + baseline_us
+    active_from = (start if log_start_us is None else log_start_us) + baseline_us
 
     stretches = _quiet_stretches(named, half, width, threshold_pct).withColumn(
         "look_from", F.greatest("from.at", F.lit(active_from))

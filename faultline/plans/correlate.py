@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.anomaly import find_anomalies
-from faultline.operators.cascade import attach, cascade_origins, mark_new
+from faultline.operators.cascade import attach, cascade_origins, error_table, mark_new
 from faultline.operators.silence import detect_silence
 from faultline.schema import SILENCE_TYPE
 from faultline.session import materialize, side_by_side
@@ -27,6 +27,7 @@ class Settings:
     silence: bool = True
     silence_check: str = "events"
     tick_us: int = 1_000_000
+    log_start_us: int | None = None  # first event of the log, if it is not in the table
 
 
 def _as_signals(found: DataFrame, rank: int, *, cascade: bool) -> DataFrame:
@@ -72,10 +73,12 @@ def detect(events: DataFrame, settings: Settings = Settings(), seq: str = "seq")
     """Run the detectors that are on, side by side, and keep what they find as written tables."""
 
     def anomalies() -> DataFrame:
-        return find_anomalies(events, settings.baseline_us, settings.anomaly_multiplier, seq)
+        return find_anomalies(
+            events, settings.baseline_us, settings.anomaly_multiplier, seq, errors
+        )
 
     def cascades() -> DataFrame:
-        return mark_new(materialize(cascade_origins(events, settings.window_ms, seq)))
+        return mark_new(materialize(cascade_origins(events, settings.window_ms, seq, errors)))
 
     def silences() -> DataFrame:
         return materialize(
@@ -85,16 +88,18 @@ def detect(events: DataFrame, settings: Settings = Settings(), seq: str = "seq")
                 settings.silence_threshold_pct,
                 check=settings.silence_check,
                 tick_us=settings.tick_us,
+                log_start_us=settings.log_start_us,
                 seq=seq,
             )
         )
 
+    errors = error_table(events, seq)
     builds = {"anomaly": anomalies}
     if settings.cascades:
         builds["cascade"] = cascades
     if settings.silence:
         builds["silence"] = silences
-    built = dict(zip(builds, side_by_side(*builds.values())))
+    built = dict(zip(builds, side_by_side(events.sparkSession, *builds.values())))
     signals = materialize(_merge_signals(built["anomaly"], built.get("cascade")))
     return Detected(signals, built.get("silence"))
 

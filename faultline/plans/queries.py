@@ -356,7 +356,7 @@ def drift_warnings(spark, sf_dir):
 
 @query("error_rates")
 def error_rates(spark, sf_dir):
-    rows = anomaly.error_rows(log_events(spark, sf_dir))
+    rows = anomaly.error_rows(cascade.error_table(log_events(spark, sf_dir)))
     out = rates.half_window_rates(rows, ANOMALY_US)
     return out.select(F.col("k").alias("service"), F.col("s").alias("event_id"), "older", "recent")
 

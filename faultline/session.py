@@ -55,7 +55,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def side_by_side(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+def side_by_side(spark: SparkSession, *builds: Callable[[], DataFrame]) -> list[DataFrame]:
     """Build independent tables at the same time, so their jobs can share the cluster."""
     with ThreadPoolExecutor(len(builds)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(b)) for b in builds]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(b)) for b in builds]]
