@@ -55,6 +55,11 @@ def _ordered(rows) -> pd.DataFrame:
     return pdf.sort_values(["t", "seq"], ignore_index=True)
 
 
+def _repeat(text: str, n: int) -> pd.Series:
+    # As objects: other string types become chunked arrays, which the worker cannot pack.
+    return pd.Series([text] * n, dtype=object)
+
+
 class AnomalyProcessor(StatefulProcessor):
     def __init__(self, baseline_us: int, multiplier: float, ttl_ms: int | None):
         self.baseline_us, self.multiplier, self.ttl_ms = baseline_us, multiplier, ttl_ms
@@ -85,7 +90,7 @@ class AnomalyProcessor(StatefulProcessor):
         out = pdf.loc[hit, ["t", "seq"]]
         yield pd.DataFrame(
             {
-                "service": [key[0]] * int(hit.sum()),
+                "service": _repeat(key[0], int(hit.sum())),
                 "t": out["t"].to_numpy(),
                 "s": out["seq"].to_numpy(),
                 "older": older[hit],
@@ -137,7 +142,10 @@ class SilenceProcessor(StatefulProcessor):
     def _frame(self, key, found) -> pd.DataFrame:
         columns = ("t", "older", "recent", "drop_pct")
         return pd.DataFrame(
-            {"service": [key[0]] * len(found), **{c: [f[i] for f in found] for i, c in enumerate(columns)}}
+            {
+                "service": _repeat(key[0], len(found)),
+                **{c: [f[i] for f in found] for i, c in enumerate(columns)},
+            }
         )
 
     def handleInputRows(self, key, rows, timerValues):

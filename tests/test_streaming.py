@@ -105,9 +105,9 @@ def test_write_stream_runs_every_batch(spark, events, tmp_path):
 def test_stateful_anomalies_equal_batch(spark, events, tmp_path, files):
     stream = with_lateness(stream_of(spark, events, files, tmp_path), 1000)
     got = run_to_memory(
-        spark, stream_anomalies(stream, 60 * SECOND, 1.2), f"anomalies_{files}", tmp_path
+        spark, stream_anomalies(stream, 240 * SECOND, 1.0), f"anomalies_{files}", tmp_path
     )
-    want = anomaly.find_anomalies(table(spark, events), 60 * SECOND, 1.2).collect()
+    want = anomaly.find_anomalies(table(spark, events), 240 * SECOND, 1.0).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want}
     assert want
 
