@@ -10,23 +10,25 @@ from pyspark.sql import functions as F
 
 def present_key(m: Column, keys: Sequence[str]) -> Column:
     """The first of `keys` that the map has, even with a NULL value."""
-    found = F.when(F.map_contains_key(m, keys[0]), F.lit(keys[0]))
-    for key in keys[1:]:
-        found = found.when(F.map_contains_key(m, key), F.lit(key))
-    return found
+    wanted = F.array(*[F.lit(k) for k in keys])
+    return F.get(F.array_intersect(wanted, F.map_keys(m)), F.lit(0))
 
 
 def first_present(m: Column, keys: Sequence[str]) -> Column:
     """Value of the first key that the map has."""
-    value = F.when(F.map_contains_key(m, keys[0]), F.try_element_at(m, F.lit(keys[0])))
-    for key in keys[1:]:
-        value = value.when(F.map_contains_key(m, key), F.try_element_at(m, F.lit(key)))
-    return value
+    return F.try_element_at(m, present_key(m, keys))
 
 
-def residual_fields(m: Column, used: Column) -> Column:
-    """The map without the keys of the array `used`."""
-    return F.map_filter(m, lambda k, _: ~F.array_contains(used, k))
+def residual_fields(m: Column, *used: Column) -> Column:
+    """The map without the keys that the `used` columns name."""
+
+    def unused(k: Column, _: Column) -> Column:
+        kept = ~k.eqNullSafe(used[0])
+        for name in used[1:]:
+            kept = kept & ~k.eqNullSafe(name)
+        return kept
+
+    return F.map_filter(m, unused)
 
 
 def without_keys(m: Column, keys: Sequence[str]) -> Column:

@@ -31,10 +31,9 @@ _GOOGLE = {
 
 
 def _level(text: Column, spellings: dict[int, tuple[str, ...]], otherwise: int) -> Column:
-    level = F.lit(otherwise)
-    for value, words in spellings.items():
-        level = F.when(text.isin(*words), F.lit(value)).otherwise(level)
-    return level.cast("int")
+    # A lookup in a constant map: the text is worked out once, and the code stays small.
+    pairs = [F.lit(x) for level, words in spellings.items() for w in words for x in (w, level)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), text), F.lit(otherwise)).cast("int")
 
 
 def parse_severity(text: Column | str) -> Column:

@@ -17,86 +17,108 @@ MESSAGE_KEYS = ("message", "msg", "log", "text")
 SERVICE_KEYS = ("service", "service_name", "app", "application", "component")
 TRACE_KEYS = ("trace_id", "traceId", "trace", "x-trace-id", "request_id", "requestId")
 
-_SPACE = r"[\s\u0085\p{Z}]"
+# White space in the Unicode sense.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+_SPACE = r"[\s\x85\p{Z}]+"
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(line, F.lit(_BLANKS))
 
 
 def scan_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Trimmed non-blank lines with the parsed object where the line is one (`object`)."""
-    line = trimmed(F.col(column))
-    kept = df.withColumn("line", line).where(F.col("line") != "")
+    kept = df.withColumn("line", trimmed(F.col(column))).where(F.col("line") != "")
     return kept.withColumn("object", json_map(F.col("line")))
 
 
-def _json_parts(df: DataFrame) -> DataFrame:
-    """Add the parts of `object` as j_* columns, NULL where the line is no object."""
-    obj = F.col("object")
-    parsed = {
-        f"j_time{i}": parse_timestamp(F.try_element_at(obj, F.lit(k)))
-        for i, k in enumerate(TIME_KEYS)
-    }
-    time_key = F.coalesce(
-        *[F.when(F.col(f"j_time{i}").isNotNull(), F.lit(k)) for i, k in enumerate(TIME_KEYS)]
+def _any_time(obj: Column) -> Column:
+    """(key, ts) of the first time key whose value parses; for objects whose first one does not."""
+    tried = F.transform(
+        F.array(*[F.lit(k) for k in TIME_KEYS]),
+        lambda k: F.struct(k.alias("key"), parse_timestamp(F.try_element_at(obj, k)).alias("ts")),
+    )
+    return F.get(F.filter(tried, lambda x: x["ts"].isNotNull()), F.lit(0))
+
+
+def _parts(df: DataFrame, extra_layouts: bool) -> DataFrame:
+    """Add the event parts of `object`, or of the plain text in `line` where there is no object.
+
+    Written in steps, so that no expression is worked out twice and the code of each step stays
+    small enough to be compiled.
+    """
+    obj, token = F.col("object"), F.get("tokens", F.lit(0))
+    is_object = obj.isNotNull()
+    pair = F.concat(token, F.lit("T"), F.get("tokens", F.lit(1)))
+    spaced = F.regexp_replace(F.concat(token, F.lit(" "), F.get("tokens", F.lit(1))), r"[\[\]]", "")
+    second = parse_timestamp(pair)
+    if extra_layouts:
+        second = F.coalesce(second, parse_timestamp(spaced))
+    promoted = [F.col(k) for k in ("k_time", "k_severity", "k_message", "k_service", "k_trace")]
+
+    def level(i: int) -> Column:
+        word = F.get("tokens", F.col("skip") + i)
+        return parse_severity(F.btrim(word, F.lit("[]()<>")))
+
+    text_message = F.array_join(
+        F.slice("tokens", F.col("skip") + F.col("at") + 1, F.size("tokens")), " "
     )
-    keys = {
-        "k_time": time_key,
-        "k_severity": present_key(obj, SEVERITY_KEYS),
-        "k_message": present_key(obj, MESSAGE_KEYS),
-        "k_service": present_key(obj, SERVICE_KEYS),
-        "k_trace": present_key(obj, TRACE_KEYS),
-    }
-    used = F.array_compact(F.array(*keys))
     return (
-        df.withColumns(parsed)
-        .withColumns(keys)
+        df.withColumns(
+            {
+                "tokens": F.when(obj.isNull(), F.split("line", _SPACE)),
+                "k_first": present_key(obj, TIME_KEYS),
+                "k_severity": present_key(obj, SEVERITY_KEYS),
+                "k_message": present_key(obj, MESSAGE_KEYS),
+                "k_service": present_key(obj, SERVICE_KEYS),
+                "k_trace": present_key(obj, TRACE_KEYS),
+            }
+        )
+        .withColumn("time_text", F.coalesce(F.try_element_at(obj, F.col("k_first")), token))
+        .withColumn("ts1", parse_timestamp(F.col("time_text")))
+        .withColumn("ts2", F.when(F.col("ts1").isNull() & obj.isNull(), second))
+        .withColumn(
+            "tried",
+            F.when(F.col("ts1").isNull() & F.col("k_first").isNotNull(), _any_time(obj)),
+        )
         .withColumns(
             {
-                "j_ts": F.coalesce(*parsed),
-                "j_severity": parse_severity(F.try_element_at(obj, F.col("k_severity"))),
-                "j_message": F.when(
-                    obj.isNotNull(),
-                    F.coalesce(F.try_element_at(obj, F.col("k_message")), F.lit("")),
+                "ts": F.coalesce("ts1", "ts2", "tried.ts"),
+                "k_time": F.when(F.col("ts1").isNotNull(), F.col("k_first")).otherwise(
+                    F.col("tried.key")
                 ),
-                "service": F.try_element_at(obj, F.col("k_service")),
-                "trace_id": F.try_element_at(obj, F.col("k_trace")),
-                "j_fields": residual_fields(obj, used),
+                "skip": F.when(is_object, None)
+                .when(F.col("ts1").isNotNull(), F.lit(1))
+                .when(F.col("ts2").isNotNull(), F.lit(2))
+                .otherwise(F.lit(0)),
             }
         )
-    )
-
-
-def _text_parts(df: DataFrame, extra_layouts: bool) -> DataFrame:
-    """Add the parts of the plain-text column `plain` as x_* columns, NULL where it is NULL."""
-    first, second = F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
-    pair = parse_timestamp(F.concat(first, F.lit("T"), second))
-    if extra_layouts:
-        bare = F.regexp_replace(F.concat(first, F.lit(" "), second), r"[\[\]]", "")
-        pair = F.coalesce(pair, parse_timestamp(bare))
-    levels = F.transform(
-        F.slice("parts", F.col("skip") + 1, 3),
-        lambda token: parse_severity(F.btrim(token, F.lit("[]()<>"))),
-    )
-    known = F.array_position(F.transform("levels", lambda v: v != UNKNOWN), True).cast("int")
-    return (
-        df.withColumn("parts", F.split("plain", f"{_SPACE}+"))
-        .withColumns({"one_ts": parse_timestamp(first), "two_ts": pair})
+        .withColumns({f"level{i}": level(i) for i in range(3)})
         .withColumn(
-            "skip",
-            F.when(F.col("one_ts").isNotNull(), F.lit(1))
-            .when(F.col("two_ts").isNotNull(), F.lit(2))
+            "at",
+            F.when(F.col("level0") != UNKNOWN, F.lit(1))
+            .when(F.col("level1") != UNKNOWN, F.lit(2))
+            .when(F.col("level2") != UNKNOWN, F.lit(3))
             .otherwise(F.lit(0)),
         )
-        .withColumn("levels", levels)
-        .withColumn("at", F.coalesce(known, F.lit(0)))
         .withColumns(
             {
-                "x_ts": F.coalesce("one_ts", "two_ts"),
-                "x_severity": F.when(F.col("at") > 0, F.get("levels", F.col("at") - 1)),
-                "x_message": F.array_join(
-                    F.slice("parts", F.col("skip") + F.col("at") + 1, F.size("parts")), " "
+                "severity": F.when(
+                    is_object, parse_severity(F.try_element_at(obj, F.col("k_severity")))
+                ).otherwise(
+                    F.when(F.col("at") == 1, F.col("level0"))
+                    .when(F.col("at") == 2, F.col("level1"))
+                    .otherwise(F.col("level2"))
+                ),
+                "message": F.when(
+                    is_object, F.coalesce(F.try_element_at(obj, F.col("k_message")), F.lit(""))
+                ).otherwise(text_message),
+                "service": F.try_element_at(obj, F.col("k_service")),
+                "trace_id": F.try_element_at(obj, F.col("k_trace")),
+                "fields": F.coalesce(
+                    residual_fields(obj, *promoted), F.create_map().cast("map<string,string>")
                 ),
             }
         )
@@ -137,21 +159,8 @@ def normalize_lines(
     next three tokens, then the message. With `extra_layouts` the first two tokens are also tried
     joined by a space, which lets slash dates and access-log times match.
     """
-    scanned = scan_lines(df, column).withColumn(
-        "plain", F.when(F.col("object").isNull(), F.col("line"))
-    )
-    parts = _text_parts(_json_parts(scanned), extra_layouts)
-    out = parts.withColumns(
-        {
-            "ts": F.coalesce("j_ts", "x_ts"),
-            "severity": F.when(F.col("object").isNotNull(), F.col("j_severity")).otherwise(
-                F.col("x_severity")
-            ),
-            "message": F.coalesce("j_message", "x_message"),
-            "fields": F.coalesce("j_fields", F.create_map().cast("map<string,string>")),
-        }
-    )
-    return finish(out, source, ingest_ts, keep)
+    parts = _parts(scan_lines(df, column), extra_layouts)
+    return finish(parts, source, ingest_ts, keep)
 
 
 def normalize_json(df: DataFrame, source: str | None = None, **options) -> DataFrame:
