@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.plans.tables import base_events
 from faultline.schema import cell_of
+from faultline.session import spread
 
 # Records per exported response; a response never grows with the table.
 RECORDS_PER_RESPONSE = 8
@@ -22,7 +23,7 @@ LEVEL_WORD = {
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = base_events(spark, sf_dir)
+    e = spread(base_events(spark, sf_dir))
     word = F.lit(None).cast("string")
     for name, level in LEVEL_WORD.items():
         word = F.when(F.col("event_type") == name, F.lit(level)).otherwise(word)
