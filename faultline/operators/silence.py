@@ -91,9 +91,14 @@ def _cell_states(named: DataFrame, half: int, width: int) -> DataFrame:
 
 
 def _quiet_stretches(
-    named: DataFrame, half: int, width: int, threshold_pct: float
+    named: DataFrame,
+    half: int,
+    width: int,
+    threshold_pct: float,
+    active_from: int,
+    end: int,
 ) -> DataFrame:
-    """Stretches between two changes in which the drop holds.
+    """Stretches between two changes in which the drop holds, as far as `active_from` to `end` goes.
 
     Columns: service, older, recent, gap (number of the service's events so far), from and until
     (position structs at, kind, s; until NULL at the end of the log).
@@ -104,7 +109,9 @@ def _quiet_stretches(
     least_recent = F.greatest(F.col("recent0") - F.col("aging"), F.lit(0))
     possible = materialize(
         states.where(
-            (most_older >= MIN_IN_BASELINE)
+            (F.col("cell") <= end // width)
+            & (F.col("next_at").isNull() | (F.col("next_at") >= active_from))
+            & (most_older >= MIN_IN_BASELINE)
             & (_drop_pct(least_recent, most_older, half_minutes) >= threshold_pct)
         )
     )
@@ -264,9 +271,12 @@ def detect_silence(
         start = end = 0
     active_from = (start if log_start_us is None else log_start_us) + baseline_us
 
-    stretches = _quiet_stretches(named, half, width, threshold_pct).withColumn(
-        "look_from", F.greatest("from.at", F.lit(active_from))
-    ).where(F.col("until").isNull() | (F.col("until.at") >= F.col("look_from")))
+    stretches = (
+        _quiet_stretches(named, half, width, threshold_pct, active_from, end)
+        .withColumn("look_from", F.greatest("from.at", F.lit(active_from)))
+        .where(F.col("until").isNull() | (F.col("until.at") >= F.col("look_from")))
+        .where(F.col("look_from") <= end)
+    )
     if check == "tick":
         up = F.pmod(-F.col("look_from"), F.lit(tick_us))
         seen = stretches.withColumn(
@@ -281,7 +291,7 @@ def detect_silence(
         stretches = materialize(stretches)
         at_once = (F.col("from.kind") == _ARRIVAL) & (F.col("from.at") >= active_from)
         later = stretches.where(~at_once)
-        found = next_check(later.where(F.col("look_from") <= end), all_rows.select("t", "s"), start, end)
+        found = next_check(later, all_rows.select("t", "s"), start, end)
         seen = stretches.where(at_once).withColumn("found", F.col("from")).unionByName(
             later.join(found, "look_from").select(*stretches.columns, "found")
         )

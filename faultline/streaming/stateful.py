@@ -20,6 +20,8 @@ from faultline.operators import anomaly, silence
 from faultline.operators.rates import half_of
 from faultline.schema import is_error, present
 
+# The processors run in Python workers, which need not have this package installed: they are sent
+# by value and must not refer to other modules of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_CELLS = 32
@@ -61,9 +63,11 @@ def _repeat(text: str, n: int) -> pd.Series:
 
 
 class AnomalyProcessor(StatefulProcessor):
-    def __init__(self, baseline_us: int, multiplier: float, ttl_ms: int | None):
+    def __init__(
+        self, baseline_us: int, multiplier: float, min_span: int, min_base: int, ttl_ms: int | None
+    ):
         self.baseline_us, self.multiplier, self.ttl_ms = baseline_us, multiplier, ttl_ms
-        self.min_span, self.min_base = anomaly.MIN_IN_SPAN, anomaly.MIN_IN_BASELINE
+        self.min_span, self.min_base = min_span, min_base
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = _SpanState(handle, self.baseline_us, self.ttl_ms)
@@ -103,15 +107,14 @@ class AnomalyProcessor(StatefulProcessor):
 
 
 class SilenceProcessor(StatefulProcessor):
-    def __init__(self, span_us: int, threshold_pct: float, active_from: int, ttl_ms: int | None):
-        self.half, self.threshold = half_of(span_us), threshold_pct
-        self.active_from, self.ttl_ms = active_from, ttl_ms
-        self.min_base = silence.MIN_IN_BASELINE
+    def __init__(self, half_us: int, threshold_pct: float, active_from: int, min_base: int):
+        self.half, self.threshold = half_us, threshold_pct
+        self.active_from, self.min_base = active_from, min_base
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = _SpanState(handle, 2 * self.half, self.ttl_ms)
-        self.told = handle.getValueState("told", "told boolean", self.ttl_ms)
+        self.state = _SpanState(handle, 2 * self.half, None)
+        self.told = handle.getValueState("told", "told boolean")
 
     def _quiet(self, times: np.ndarray, since: int, before: int | None):
         """First instant in [since, before) at which the drop holds: (at, older, recent)."""
@@ -210,7 +213,9 @@ def stream_anomalies(
         _keyed(events.where(is_error()), seq)
         .groupBy("service")
         .transformWithStateInPandas(
-            AnomalyProcessor(baseline_us, multiplier, ttl_ms),
+            AnomalyProcessor(
+                baseline_us, multiplier, anomaly.MIN_IN_SPAN, anomaly.MIN_IN_BASELINE, ttl_ms
+            ),
             "service string, t bigint, s bigint, older bigint, recent bigint",
             outputMode="Append",
             timeMode="ProcessingTime" if ttl_ms else "EventTime",
@@ -234,7 +239,12 @@ def stream_silence(
         _keyed(events.where(present("service").isNotNull()), seq)
         .groupBy("service")
         .transformWithStateInPandas(
-            SilenceProcessor(baseline_us, threshold_pct, log_start_us + baseline_us, None),
+            SilenceProcessor(
+                half_of(baseline_us),
+                threshold_pct,
+                log_start_us + baseline_us,
+                silence.MIN_IN_BASELINE,
+            ),
             "service string, t bigint, older bigint, recent bigint, drop_pct double",
             outputMode="Append",
             timeMode="EventTime",
