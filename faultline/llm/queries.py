@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, packing, quality
+from faultline.llm import encoding, langid, packing, quality
 from faultline.llm import sql
-from faultline.llm.common import table
+from faultline.llm.common import fold, table
 
 
 def word_tokenizer() -> str:
@@ -22,6 +22,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = langid.learn(docs.where("NOT held_out"))
+    return langid.predict(docs, model, also=("held_out",))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -32,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_langid": op2_langid,
     "op4_bpe": op4_bpe,
     "op10_packing": op10_packing,
 }
