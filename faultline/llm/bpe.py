@@ -24,7 +24,7 @@ LEAF = 512
 #: Characters on either side of a join that are encoded again at first.
 REACH = 48
 #: Distinct words whose ids a worker remembers; then it starts anew. Results don't depend on it.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_200_000
 
 #: Letters of Latin blocks that are their own composed form, then common marks (no apostrophe): their split is beyond doubt.
 _PLAIN = re.compile("([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@[-`{-~]*)")
@@ -65,9 +65,10 @@ class Encoder:
             ids += new
             sizes[i] = len(new)
         starts = np.cumsum(sizes) - sizes + len(self.ids)
-        keys, begin, length = (np.concatenate(x) for x in ((self.keys, keys), (self.begin, starts), (self.length, sizes)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.length = keys[order], begin[order], length[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.length = (
+            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.begin, starts), (self.length, sizes))
+        )
         self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
 
     def tree(self, text: str) -> list[int]:

@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 
 from faultline.llm.bpe import encoder
 from faultline.llm.common import materialize, slices
-from faultline.llm.encoding import STEP
 
 SIZE, END = 2048, 1
 GRAIN = 8
 #: Documents whose ranks one window works out.
-SLICE_ROWS = 100_000
+SLICE_ROWS = 20_000
 
 
 def lengths(docs: DataFrame, tokenizer: str, key: str, text: str, size: int = SIZE) -> DataFrame:
@@ -38,7 +37,7 @@ def lengths(docs: DataFrame, tokenizer: str, key: str, text: str, size: int = SI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for b in slices(batches, "t", STEP):
+        for b in slices(batches, "t"):
             ids, ends = e.encode(b.column(1))
             crcs, end = [], np.array([END], "<u4").tobytes()
             for a, z in zip(ends.tolist(), ends[1:].tolist()):

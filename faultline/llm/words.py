@@ -6,8 +6,6 @@ Multi-byte characters consist of bytes from 80 on, so they are never cut.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,17 +36,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_RATIO))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    ratio = np.full(n, _RATIO, dtype=np.uint64)
-    back = np.full(n, pow(_RATIO, -1, 1 << 64), dtype=np.uint64)
-    ratio[0] = back[0] = 1
-    return np.cumprod(ratio, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+_grown: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(12, int(n).bit_length()))
-    return up[:n], down[:n]
+    """Powers of the ratio and of its inverse; a worker keeps the longest it has needed."""
+    if n > len(_grown[0]):
+        size = (n + (1 << 18)) >> 18 << 18
+        for i, x in enumerate((_RATIO, pow(_RATIO, -1, 1 << 64))):
+            steps = np.full(size, x, dtype=np.uint64)
+            steps[0] = 1
+            _grown[i] = np.cumprod(steps, dtype=np.uint64)
+    return _grown[0][:n], _grown[1][:n]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
