@@ -16,7 +16,7 @@ from faultline.session import checkpoint_root, materialize
 __all__ = ["checkpoint_root", "components", "fold", "materialize", "slices", "table"]
 
 #: Bytes of text that one numpy step works on; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components: (node, component), component = the smallest node reachable.
 
-    Large-star and small-star rounds over the edge table. Every round is two groupings by node with
-    partial aggregation, written to the shared folder; a node's edges are never gathered.
+    Large-star and small-star rounds over the edge table. Every round is two groupings by node with partial aggregation;
+    their results are written to the shared folder, so joins with them can split a node of many edges. A node's
+    edges are never gathered.
     """
     spark = edges.sparkSession
     now = materialize(
@@ -65,15 +66,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     before = mark(now)
     while before[0]:
         arcs = both(now)
-        least = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            arcs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        ).distinct()
-        large = materialize(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = materialize(
+            arcs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        )
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small)
+        now = materialize(hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         after = mark(now)
         if after == before:
             break
@@ -89,3 +88,28 @@ def fresh(name: str, taken: list[str]) -> str:
     while name in taken:
         name = f"{name}_{uuid.uuid4().hex[:6]}"
     return name
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups from rows sorted by their first `keys` columns, with the groups' offsets."""
+    rest: pa.RecordBatch | None = None
+
+    def bounds(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for c in b.columns[:keys]:
+            c = pc.fill_null(c, "\x00") if pa.types.is_string(c.type) else pc.fill_null(c, -1)
+            new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if rest is not None:
+            b = pa.concat_batches([rest, b])
+        at = bounds(b)
+        rest = b.slice(int(at[-1]))
+        if at[-1]:
+            yield b.slice(0, int(at[-1])), at
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
