@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, langid, packing, quality
+from faultline.llm import encoding, langid, minhash, packing, quality, vectors
 from faultline.llm import sql
 from faultline.llm.common import fold, table
 
@@ -32,6 +32,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
     "op4_bpe": op4_bpe,
+    "op6_vectors": op6_vectors,
+    "op7_minhash": op7_minhash,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality": sql.QUALITY}
