@@ -91,7 +91,7 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches of whole groups from rows sorted by their first `keys` columns, with the groups' offsets."""
+    """Batches of whole groups from rows sorted by their first `keys` columns, with the groups' offsets, end included."""
     rest: pa.RecordBatch | None = None
 
     def bounds(b: pa.RecordBatch) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, langid, minhash, packing, quality, vectors
+from faultline.llm import encoding, langid, lm, minhash, packing, quality, vectors
 from faultline.llm import sql
 from faultline.llm.common import fold, table
 
@@ -40,6 +40,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs.withColumn("held_out", fold("doc_id", 5) == 1), "held_out")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_vectors": op6_vectors,
     "op7_minhash": op7_minhash,
+    "op8_lm": op8_lm,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality": sql.QUALITY}

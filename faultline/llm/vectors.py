@@ -62,7 +62,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, at in groups(batches, 6):
         reps, copies, block = (np.asarray(b.column(i)) for i in (6, 7, 8))
         tab, p = np.asarray(b.column(2)), np.asarray(b.column(4))
-        for a, z in zip(at, [*at[1:], b.num_rows]):
+        for a, z in zip(at, at[1:]):
             if z - a < 2:
                 continue
             x = _matrix(b.column(9).slice(int(a), int(z - a)))
