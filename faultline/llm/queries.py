@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, langid, lm, minhash, packing, quality, vectors
+from faultline.llm import encoding, langid, lm, minhash, packing, quality, toxicity, vectors
 from faultline.llm import sql
 from faultline.llm.common import fold, table
 
@@ -32,6 +32,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    index = toxicity.learn(docs, labels, "crc32(cast(doc_id AS string)) % 5 = 0")
+    return toxicity.predict(docs, index, also=("held_out",))
+
+
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_vectors": op6_vectors,
     "op7_minhash": op7_minhash,
     "op8_lm": op8_lm,

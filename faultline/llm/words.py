@@ -85,13 +85,17 @@ class Words:
 
     def hashed(self, alike: np.ndarray = SAME) -> np.ndarray:
         """64-bit hashes of the words: a polynomial in the bytes, from prefix sums."""
-        n = len(self.data)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[alike[self.data]] * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        n = len(self.data)
+        up, self.down = powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE[alike[self.data]] * up[:n], out=self.sums[1:])
+        return self.between(self.starts, self.ends)
+
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes; equal to those of words with the same bytes."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
 def windows(key: np.ndarray, width: int) -> np.ndarray:
