@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, langid, lm, minhash, packing, quality, toxicity, vectors
+from faultline.llm import encoding, langid, lm, minhash, packing, quality, relative, toxicity, vectors
 from faultline.llm import sql
 from faultline.llm.common import fold, table
 
@@ -52,6 +52,10 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs.withColumn("held_out", fold("doc_id", 5) == 1), "held_out")
 
 
+def op9_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative.strip(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_vectors": op6_vectors,
     "op7_minhash": op7_minhash,
     "op8_lm": op8_lm,
+    "op9_relative": op9_relative,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality": sql.QUALITY}
