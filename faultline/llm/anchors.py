@@ -22,7 +22,7 @@ from faultline.llm.words import mix
 #: Largest filter, bits for each anchor, and probes.
 MOST_BYTES, ITEM_BITS, PROBES = 48 << 20, 10, 3
 #: Distinct anchors a task gathers before it sends them; bytes of pieces it gathers.
-GATHERED, PIECE_BYTES = 3_000_000, 24 << 20
+GATHERED, PIECE_BYTES = 3_000_000, 12 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 

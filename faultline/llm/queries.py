@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, langid, lm, minhash, packing, quality, relative, toxicity, vectors
+from faultline.llm import encoding, langid, lm, minhash, packing, quality, relative, suffix, toxicity, vectors
 from faultline.llm import sql
 from faultline.llm.common import fold, table
 
@@ -28,6 +28,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, also=("held_out",))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.strip(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -63,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
+    "op3_suffix": op3_suffix,
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_vectors": op6_vectors,
