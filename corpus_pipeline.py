@@ -9,6 +9,10 @@ from faultline.llm.common import materialize, table
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
+    ("language_id", stages.language_id),
+    ("quality_rules", stages.quality_rules),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeated_strings", stages.repeated_strings),
     ("packing", stages.packing),
 ]
 

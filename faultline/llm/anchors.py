@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import groups, materialize, slices
@@ -92,10 +92,10 @@ class Seen:
         return out
 
 
-def documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, h, t): key with nulls last of all, hash of the text, the text with null as empty."""
+def documents(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(k, h, t, *more): key with nulls last of all, hash of the text, the text with null as empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("k"), F.xxhash64(t).alias("h"), t.alias("t"), *more)
 
 
 def repeated(rows: DataFrame, pieces: Callable[[pa.Array], tuple], parts: int, by_text: bool) -> Seen:
@@ -165,6 +165,7 @@ def spans(
     gets the pieces of some anchors, ordered by anchor, with documents in order, and returns (piece, start, end) in units.
     """
     spark = rows.sparkSession
+    rows = rows.select("k", "h", "t")
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
     seen = spark.sparkContext.broadcast(repeated(rows, pieces, parts, by_text))
 
@@ -248,4 +249,4 @@ def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with the list of their spans, empty where there are none."""
     gathered = found.groupBy("k", "h").agg(F.collect_list("spans").alias("spans"))  # as much as the document's text
     gathered = materialize(gathered).withColumnRenamed("k", "k2").withColumnRenamed("h", "h2")
-    return rows.join(gathered, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select("k", "h", "t", "spans")
+    return rows.join(gathered, (F.col("k") == F.col("k2")) & (F.col("h") == F.col("h2")), "left").select(*rows.columns, "spans")

@@ -91,38 +91,43 @@ def boilerplate(docs: DataFrame, host: str, text: str, line_docs: int = LINE_DOC
     )
 
 
+def judged(docs: DataFrame, text: str = "text", host: str = "source", **limits: float) -> DataFrame:
+    """(doc: struct of a row of docs, the base counts, base_failed, n_lines_cut, chars_left, kept, kept_text).
+
+    kept_text is the text without boilerplate lines, the other lines as they were. No row moves but to a host's boilerplate, whose
+    size is bounded by the limits: a line in more than LINE_SHARE of a host's documents leaves room for few such lines.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("t"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
+    frequent = boilerplate(rows, "host", "t", **limits)
+    by_host = materialize(frequent.groupBy("host").agg(F.collect_set("line").alias("cut")))
+    lines = F.split(F.coalesce("t", F.lit("")), "\n")
+    both = F.arrays_zip(normalised(F.col("t")).alias("norm"), lines.alias("raw"))
+    counted = base(rows, "t").withColumn("_both", both).join(by_host, "host", "left")
+    gone = lambda x: (x["norm"] != "") & F.coalesce(F.array_contains("cut", F.xxhash64(x["norm"])), F.lit(False))
+    size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x["norm"]))
+    marked = counted.withColumn("_left", F.filter("_both", lambda x: ~gone(x)))
+    sized = marked.withColumn("n_lines_cut", (F.size("_both") - F.size("_left")).cast("long")).withColumn("chars_left", size(F.col("_left")))
+    return sized.select(
+        "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_cut", "chars_left",
+        (~F.col("base_failed") & (F.col("chars_left") >= LEAST_LEFT * size(F.col("_both")))).alias("kept"),
+        F.when(F.col("n_lines_cut") == 0, F.col("t")).otherwise(F.array_join(F.transform("_left", lambda x: x["raw"]), "\n")).alias("kept_text"),
+    )
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits: float) -> DataFrame:
     """One row per row of docs: key, the base counts, base_failed, n_lines_cut, chars_left, kept.
 
-    Null text: no words, so it fails. A null host is a host of its own; a null key is kept as it is. Repeated rows get the
-    same verdict each. Columns beside key, text and host are not read. An empty table gives no rows.
+    Null text: no words, so it fails. A null host is the host "". A null key is kept as it is. Repeated rows get the same verdict
+    each. Columns beside key, text and host are not read. An empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(host).cast("string").alias("s"))
-    h = F.xxhash64("t", "s")
-    frequent = boilerplate(rows, "s", "t", **limits)
-    parts = rows.select(
-        "k", h.alias("h"), F.coalesce("s", F.lit("")).alias("host"),
-        F.explode(F.filter(F.transform(normalised(F.col("t")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("n"))), lambda x: x["n"] > 0)).alias("x"),
-    )
-    cut = (
-        parts.select("k", "h", "host", "x.line", "x.n")
-        .join(frequent, ["host", "line"])
-        .groupBy("k", "h")
-        .agg(F.sum("n").alias("cut"), F.count("*").alias("lines"))
-    )
-    total = F.aggregate(normalised(F.col("t")), F.lit(0), lambda a, x: a + F.length(x))
-    counted = base(rows.withColumn("h", h).withColumn("chars", total), "t").drop("t", "s")
-    copies = rows.groupBy("k", h.alias("h")).agg(F.count("*").alias("copies"))
-    cut = cut.join(copies.withColumnRenamed("k", "k2").withColumnRenamed("h", "h2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))).select(
-        "k", "h", (F.col("cut") / F.col("copies")).alias("cut"), (F.col("lines") / F.col("copies")).cast("long").alias("lines")
-    )
-    cut = cut.withColumnRenamed("k", "k2").withColumnRenamed("h", "h2")
-    joined = counted.join(cut, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2")), "left")
-    left = F.col("chars") - F.coalesce("cut", F.lit(0))
-    return joined.select(
-        F.col("k").alias(key),
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce("lines", F.lit(0)).cast("long").alias("n_lines_cut"),
-        left.cast("long").alias("chars_left"),
-        (~F.col("base_failed") & (left >= LEAST_LEFT * F.col("chars"))).alias("kept"),
-    )
+    return judged(docs.select(key, text, host), text, host, **limits).select(F.col("doc")[key].alias(key), *_VERDICT)
+
+
+_VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_cut", "chars_left", "kept")
+
+
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", **limits: float) -> DataFrame:
+    """docs without the rejected rows and without boilerplate lines."""
+    # the row number keeps the filter above the projection: pushed below, it would count again within its own functions
+    kept = judged(docs, text, host, **limits).withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
+    return kept.select(*[F.col("kept_text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -3,11 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from faultline.llm import langid, minhash, quality, suffix
 from faultline.llm import packing as _packing
 from faultline.llm.queries import word_tokenizer
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages that the documents name."""
+    model = langid.learn(docs)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("t"))
+    found = langid.predict(rows, model, key="doc", text="t")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST)).select("doc.*")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their boilerplate lines."""
+    return _counted(quality.cleaned(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest doc_id."""
+    gone = minhash.near_texts(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings that documents before them hold; one may be left empty."""
+    return _counted(suffix.stripped(docs))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in token sequences."""
     return _packing.pack(docs, word_tokenizer())
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs

@@ -18,9 +18,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from faultline.llm.anchors import Pieces, covered, documents, spans, with_spans
-from faultline.llm.common import slices
+from faultline.llm.common import fresh, slices
 from faultline.llm.words import BYTE, mix, powers, utf8
 
 WINDOW, GRAM = 50, 16
@@ -178,32 +180,51 @@ def repeats(key: np.ndarray, k: np.ndarray, h: np.ndarray, start: np.ndarray, sh
     return piece[hit[head]], offset[hit[head]], offset[hit[tail]] + WINDOW
 
 
-def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256; with `keep_text` also kept, the bytes left.
+def digest(b: pa.RecordBatch) -> tuple[list[pa.Array], list[bytes]]:
+    """Of rows (t, spans): n_bytes, n_removed, n_spans and kept_sha256, and the bytes left."""
+    data, offsets = utf8(b.column(0))
+    removed, n_spans, kept = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
+    for i, raw in enumerate(b.column(1).to_pylist()):
+        own = data[offsets[i] : offsets[i + 1]]
+        if raw:
+            gone = covered(raw, len(own))
+            removed[i] = gone.sum()
+            n_spans[i] = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[0])
+            own = own[~gone]
+        kept.append(own.tobytes())
+    sha = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+    return [pa.array(np.diff(offsets)), pa.array(removed), pa.array(n_spans), sha], kept
+
+
+def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty. A null key comes last in the order of documents; rows of one key never shorten each other. Other
-    columns are not read.
+    columns are not read. An empty table gives no rows.
     """
     rows = documents(docs, key, text)
-    schema = "k long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            data, offsets = utf8(b.column(2))
-            removed, n_spans, kept = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
-            for i, raw in enumerate(b.column(3).to_pylist()):
-                own = data[offsets[i] : offsets[i + 1]]
-                if raw:
-                    gone = covered(raw, len(own))
-                    removed[i] = gone.sum()
-                    n_spans[i] = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[0])
-                    own = own[~gone]
-                kept.append(own.tobytes())
-            columns = [b.column(0), b.column(1), pa.array(np.diff(offsets)), pa.array(removed), pa.array(n_spans)]
-            columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
-            if keep_text:
-                columns.append(pa.array(kept, pa.binary()))
-            yield pa.record_batch(columns, [c.split()[0] for c in schema.split(", ")])
-
-    out = with_spans(rows, spans(rows, pieces, repeats, by_text=True)).mapInArrow(run, schema)
-    return out.selectExpr(f"nullif(k, {2**63 - 1}) AS `{key}`", *[c.split()[0] for c in schema.split(", ")[2:]])
+            yield pa.record_batch([b.column(2), *digest(b)[0]], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    done = with_spans(rows, spans(rows, pieces, repeats, by_text=True)).select("t", "spans", "k")
+    out = done.mapInArrow(run, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.selectExpr(f"nullif(k, {2**63 - 1}) AS `{key}`", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def stripped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with texts shortened; where a cut goes through a character, its other bytes go too. A null text stays null."""
+    rows = documents(docs, key, text)
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text], F.col(text).isNull().alias(fresh("_null", docs.columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            texts = [x.decode("utf-8", "ignore") for x in digest(b)[1]]
+            yield pa.record_batch([b.column(2), pa.array(texts, pa.string())], ["doc", "left"])
+
+    carried = documents(docs, key, text, others.alias("doc"))
+    done = with_spans(carried, spans(rows, pieces, repeats, by_text=True)).select("t", "spans", "doc")
+    out = done.mapInArrow(run, StructType([done.schema["doc"], StructField("left", StringType())]))
+    own = F.when(F.col("doc")[done.schema["doc"].dataType.names[-1]], F.lit(None)).otherwise(F.col("left"))
+    return out.select(*[own.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
