@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +13,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.session import checkpoint_root, materialize
-
-__all__ = ["checkpoint_root", "components", "fold", "materialize", "slices", "table"]
+from faultline.session import materialize  # noqa: F401  (operators import it from here)
 
 #: Bytes of text that one numpy step works on; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package where it isn't installed; on a cluster use --py-files."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

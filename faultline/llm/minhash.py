@@ -7,7 +7,8 @@ two bags agree in a register with a probability that is their weighted Jaccard s
 time is past every register of its bag, so a bag costs about as many points as it has shingles.
 
 Registers are banded. Bags that share a band are candidates, which are verified on the whole bags: first every bag of a bucket
-against the bucket's smallest, then, as long as a bucket holds bags that are not connected yet, those against each other.
+against the bucket's smallest. Clusters of candidates that this leaves in several parts are then compared in blocks: every bag
+outside the largest part with all bags of other parts, by a product of incidence matrices. Pairs are never rows there.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import components, materialize, slices
+from faultline.llm.common import components, groups, materialize, slices
 from faultline.llm.words import Words, mix, windows
 
 WIDTH, LEAST = 5, 0.8
 #: At a similarity of 0.8 two bags share no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
+#: Bags of a block, and shingles that a comparison of blocks works on at once.
+BLOCK, COLUMNS = 256, 8192
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -146,6 +149,47 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*b.columns[:2], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between bags of two blocks that are in different parts: for each bag of side 0, one to every such part."""
+    for b, at in groups(batches, 3):
+        for a, z in zip(at, at[1:]):
+            g = b.slice(int(a), int(z - a))
+            side, rep, part = (np.asarray(g.column(i)) for i in (3, 4, 5))
+            n = int((side == 0).sum())
+            if not n or n == len(side):
+                continue
+            size, row, key = elements([x.as_buffer() for x in g.column(6)])
+            left = row < n
+            shared = np.intersect1d(key[left], key[~left])
+            common = np.zeros((n, len(side) - n), np.float32)
+            spot = np.searchsorted(shared, key)
+            spot[spot == len(shared)] = 0
+            some = shared[spot] == key if len(shared) else np.zeros(len(key), bool)
+            row, spot = row[some], spot[some]
+            for low in range(0, len(shared), COLUMNS):
+                now = (spot >= low) & (spot < low + COLUMNS)
+                table = np.zeros((len(side), min(COLUMNS, len(shared) - low)), np.float32)
+                table[row[now], spot[now] - low] = 1
+                common += table[:n] @ table[n:].T
+            union = size[:n, None] + size[None, n:] - common
+            i, j = np.nonzero((common >= LEAST * union) & (part[:n, None] != part[None, n:]))
+            if len(i):
+                _, first = np.unique(np.stack([i, part[n:][j]]), axis=1, return_index=True)
+                yield pa.record_batch([pa.array(rep[:n][i[first]]), pa.array(rep[n:][j[first]])], ["a", "b"])
+
+
+def elements(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size by bag, bag, element): the j-th copy of a shingle is an element of its own."""
+    sizes = [len(x) // 12 for x in packs]
+    shingle = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(packs, sizes)])
+    copies = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in zip(packs, sizes)]).astype(np.int64)
+    row = np.repeat(np.repeat(np.arange(len(packs)), sizes), copies)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    key = np.repeat(shingle, copies)
+    key = np.where(number > 0, mix(key + number.astype(np.uint64) * _STEP), key)
+    return np.bincount(row, minlength=len(packs)).astype(np.float32), row, key
+
+
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, class_id (the smallest key of the group), n_shingles, kept (key = class_id).
 
@@ -172,29 +216,27 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return materialize(both.mapInArrow(verify, "a long, b long, ok boolean"))
 
     pairs = met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = materialize(pairs)
     done = tested(pairs)
     joined = materialize(components(done.where("ok").select("a", "b")))
-    while True:  # bags that met in a bucket and are not connected, with a bag each that they were not compared with
-        placed = met.join(joined, F.col("rep") == F.col("node"), "left").select("spot", "rep", F.coalesce("component", "rep").alias("c"))
-        kinds = placed.groupBy("spot").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        open_ = materialize(placed.join(materialize(kinds), "spot"))
-        parts = materialize(open_.groupBy("spot", "c").agg(F.count("*").alias("m")))
-        main = materialize(parts.groupBy("spot").agg(F.max_by("c", F.struct("m", "c")).alias("main")))
-        rest = open_.join(main, "spot")
-        mine = rest.where("c <> main").select("spot", "rep", "c")
-        other = rest.select("spot", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-        new = (
-            mine.join(other, "spot")
-            .where("c <> c2")
-            .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-            .distinct()
-            .join(done.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        new = tested(new)
-        if new.where("ok").isEmpty():
-            break
-        done = done.unionAll(new)
-        joined = materialize(components(done.where("ok").select("a", "b")))
+    # bags that are linked through buckets but not connected yet: each cluster of them is compared in blocks
+    cluster = materialize(components(pairs))
+    placed = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    placed = placed.join(joined, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
+    kinds = materialize(placed.groupBy("cluster", "c").agg(F.count("*").alias("m")))
+    main = materialize(
+        kinds.groupBy("cluster").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    )
+    open_ = placed.join(main, "cluster").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = open_.where("c <> main").select("cluster", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "c")
+    all_ = open_.select("cluster", every.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep", "c")
+    dealt = rest.unionAll(all_).join(whole.select(F.col("k").alias("rep"), "bag"), "rep").select("cluster", "i", "j", "side", "rep", "c", "bag")
+    task = ["cluster", "i", "j"]
+    late = dealt.repartition(*task).sortWithinPartitions(*task, "side", "rep").mapInArrow(across, "a long, b long")
+    links = done.where("ok").select("a", "b").unionAll(materialize(late))
+    joined = materialize(components(links))
     of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         *bag, F.coalesce("component", "rep").alias("class_id")
     )

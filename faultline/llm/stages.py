@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from faultline.llm import langid, minhash, quality, suffix
 from faultline.llm import packing as _packing
+from faultline.llm.common import importable
 from faultline.llm.queries import word_tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the documents name."""
+    importable(spark)
     model = langid.learn(docs)
     rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("t"))
     found = langid.predict(rows, model, key="doc", text="t")
@@ -25,17 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the smallest doc_id."""
+    importable(spark)
     gone = minhash.near_texts(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that documents before them hold; one may be left empty."""
+    importable(spark)
     return _counted(suffix.stripped(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in token sequences."""
+    importable(spark)
     return _packing.pack(docs, word_tokenizer())
 
 
