@@ -37,8 +37,11 @@ def without_keys(m: Column, keys: Sequence[str]) -> Column:
 
 
 def json_map(text: Column) -> Column:
-    """A JSON object as map<string,string>, NULL if it is none; nested values stay JSON text."""
+    """A JSON object as map<string,string>, NULL if it is none; nested values stay JSON text.
+
+    The object must be the whole text. It is parsed as the first of a list of two, since a parser stops at the end of a
+    value: any text that follows the object breaks the list or makes it longer.
+    """
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    return F.when(
-        F.startswith(text, F.lit("{")), F.from_json(text, "map<string,string>", strict)
-    )
+    both = F.from_json(F.concat(F.lit("["), text, F.lit(",{}]")), "array<map<string,string>>", strict)
+    return F.when(F.startswith(text, F.lit("{")) & (F.size(both) == 2), F.get(both, F.lit(0)))

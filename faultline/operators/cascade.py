@@ -419,15 +419,18 @@ def mark_new(origins: DataFrame) -> DataFrame:
 def attach(events: DataFrame, found: DataFrame, seq: str = "seq") -> DataFrame:
     """Join columns found per error position to the events.
 
+    A position is (service, ts, seq); sources that number their own rows may share (ts, seq) if their services differ.
     Events below ERROR cannot carry them and pass by without a shuffle.
     """
     extra = [c for c in found.columns if c not in ("service", "t", "s")]
     keyed = found.select(
-        F.timestamp_micros("t").alias("f_ts"), F.col("s").alias("f_seq"), *extra
+        F.timestamp_micros("t").alias("f_ts"), F.col("s").alias("f_seq"), present("service").alias("f_service"), *extra
     )
     errors = events.where(is_error()).join(
         keyed,
-        (F.col("ts") == F.col("f_ts")) & (F.col(seq).cast("bigint") == F.col("f_seq")),
+        (F.col("ts") == F.col("f_ts"))
+        & (F.col(seq).cast("bigint") == F.col("f_seq"))
+        & present("service").eqNullSafe(F.col("f_service")),
         "left",
     )
     types = {f.name: f.dataType for f in found.schema}

@@ -21,8 +21,9 @@ _BEFORE, _EVENT, _AFTER = 0, 1, 2
 
 
 def half_of(span_us: int) -> int:
-    if span_us < 2:
-        raise ValueError("the span must be at least 2 microseconds")
+    """Half a span, which must be a whole number of microseconds: both halves are counted in whole cells."""
+    if span_us < 2 or span_us % 2:
+        raise ValueError("the span must be an even number of microseconds, 2 at least")
     return span_us // 2
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from faultline.plans.tables import base_events
 from faultline.schema import cell_of
-from faultline.session import spread
 
 # Records per exported response; a response never grows with the table.
 RECORDS_PER_RESPONSE = 8
@@ -23,7 +22,8 @@ LEVEL_WORD = {
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(base_events(spark, sf_dir))
+    # the given file is one split; rows are dealt out before the texts are built and parsed
+    e = base_events(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     word = F.lit(None).cast("string")
     for name, level in LEVEL_WORD.items():
         word = F.when(F.col("event_type") == name, F.lit(level)).otherwise(word)
@@ -74,7 +74,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("  "), spaced, F.lit(" <"), "service", F.lit("> "), "word",
                      F.lit(": "), "message", F.lit("\t")),
             F.when(F.col("event_id") % 5 == 0, F.lit("   ")).otherwise(
-                F.concat(F.lit('{"broken": '), "message")
+                F.concat(
+                    F.when(F.col("event_id") % 5 == 1, F.lit('{"broken":"x"} ')).otherwise(F.lit('{"broken": ')),
+                    "message",
+                )
             ),
         ],
     )
@@ -214,6 +217,24 @@ def google_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Responses of a store of which a fifth each was cut off, holds a number among its records, is followed by text."""
+    make, opening = {
+        "loki": (loki_payloads, '"result":['),
+        "elasticsearch": (es_payloads, '"hits":['),
+        "datadog": (datadog_payloads, '"data":['),
+        "googlecloud": (google_payloads, '"entries":['),
+    }[kind]
+    how = F.col("response_id") % 5
+    damaged = (
+        F.when(how == 0, F.expr("substring(payload, 1, length(payload) - 1)"))
+        .when(how == 1, F.replace("payload", F.lit(opening), F.lit(f"{opening}5,")))
+        .when(how == 2, F.concat("payload", F.lit(" "), "payload"))
+        .otherwise(F.col("payload"))
+    )
+    return make(spark, sf_dir).withColumn("payload", damaged)
+
+
 def damaged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of which every fifth was cut off in transfer."""
     whole = datadog_payloads(spark, sf_dir)

@@ -111,7 +111,7 @@ exp AS (SELECT event_id, 'app' AS source, CASE WHEN f = 5 THEN 1 ELSE 0 END AS t
     CASE f WHEN 4 THEN CASE WHEN event_type = 'error' THEN value::VARCHAR
         ELSE '<' || service || '> ' || word || ': ' || message END
       WHEN 5 THEN CASE WHEN event_type = 'error' THEN value::VARCHAR
-        ELSE '{"broken": ' || message END
+        ELSE CASE WHEN event_id % 5 = 1 THEN '{"broken":"x"} ' ELSE '{"broken": ' END || message END
       ELSE message END AS message,
     CASE WHEN f <= 2 AND k % 2 = 1 THEN 't-' || k END AS trace_id,
     CASE f WHEN 0 THEN 'k="' || k || '"' WHEN 1 THEN 'value="' || value::VARCHAR || '"'
@@ -164,7 +164,7 @@ def build() -> dict[str, str]:
         || CASE WHEN k % 2 = 1 THEN ',"x-trace-id":"t-' || k || '"' ELSE '' END || '}'
       WHEN 3 THEN '2024-01-01T00:00:00.000000Z [' || word || ']  ' || message
       WHEN 4 THEN '2024-01-01 00:00:00.000000 <' || service || '> ' || word || ': ' || message
-      ELSE '{"broken": ' || message END)::BIGINT AS n_chars
+      ELSE CASE WHEN event_id % 5 = 1 THEN '{"broken":"x"} ' ELSE '{"broken": ' END || message END)::BIGINT AS n_chars
   FROM raw WHERE NOT (event_id % 6 = 5 AND event_id % 5 = 0))"""
     )
     for key, where in (
@@ -219,6 +219,13 @@ def build() -> dict[str, str]:
     UNION ALL
     SELECT 'dd', 5, max(t) FROM raw WHERE event_id // 8 % 5 = 0 GROUP BY event_id // 8) GROUP BY ALL"""
     )
+    parts = []
+    for name, more, by in (("loki", " AND event_id % 11 <> 0", ", service"), ("elasticsearch", "", ""), ("datadog", "", ""), ("googlecloud", "", "")):
+        parts.append(f"SELECT '{name}' AS source, FALSE AS failed, t FROM raw WHERE event_id // 8 % 5 IN (1, 3, 4){more}")
+        parts.append(f"SELECT '{name}', TRUE, max(t) FROM raw WHERE event_id // 8 % 5 < 3 GROUP BY event_id // 8{by}")
+    sql["damaged_responses"] = with_log(
+        select=f"SELECT source, failed, count(*) AS events, max(t) AS last_us FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+    )
     sql["merge_sources"] = with_log(
         select="SELECT p AS place, t AS ts_us, s AS event_id, source FROM log"
     )

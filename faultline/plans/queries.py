@@ -145,6 +145,25 @@ def error_events(spark, sf_dir):
     )
 
 
+@query("damaged_responses")
+def damaged_responses(spark, sf_dir):
+    """Every record of damaged responses of four stores is an event or an error."""
+    parts = []
+    for kind, read in (
+        ("loki", payloads.normalize_loki),
+        ("elasticsearch", payloads.normalize_es),
+        ("datadog", payloads.normalize_datadog),
+        ("googlecloud", payloads.normalize_gcl),
+    ):
+        df = landed.responses(spark, sf_dir, kind)
+        parts += [read(df, kind, F.col("ingest_ts")), payloads.failed_records_as_events(df, kind, kind, F.col("ingest_ts"))]
+    return (
+        align.union_sources(*parts)
+        .groupBy("source", F.coalesce(F.col("service") == F.col("source"), F.lit(False)).alias("failed"))
+        .agg(F.count("*").alias("events"), F.max(_us()).alias("last_us"))
+    )
+
+
 @query("merge_sources")
 def merge_sources(spark, sf_dir):
     ev = log_events(spark, sf_dir)

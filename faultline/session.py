@@ -55,15 +55,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the input has fewer splits than that, before costly parsing.
-
-    A large splittable input has more splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def side_by_side(spark: SparkSession, *builds: Callable[[], DataFrame]) -> list[DataFrame]:
     """Build independent tables at the same time, so their jobs can share the cluster."""
     with ThreadPoolExecutor(len(builds)) as pool:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from faultline.functions.maps import first_present, json_map, without_keys
 from faultline.functions.severity import (
@@ -32,7 +33,95 @@ DOC_TRACE_KEYS = ("trace.id", "trace_id", "traceId", "request_id")
 ATTRIBUTE_TRACE_KEYS = ("trace_id", "dd.trace_id", "traceId")
 RESOURCE_SERVICE_LABELS = ("container_name", "service_name", "module_id")
 
+# Where each store's responses hold their records, and the prefixes of failure messages.
+RECORDS = {
+    "loki": (("data", "result"), "stream map<string,string>, values array<array<string>>"),
+    "elasticsearch": (("hits", "hits"), "_source map<string,string>"),
+    "datadog": (
+        ("data",),
+        "attributes struct<timestamp string, status string, message string, service string, "
+        "attributes map<string,string>>",
+    ),
+    "googlecloud": (
+        ("entries",),
+        "logName string, resource struct<type string, labels map<string,string>>, severity string, "
+        "textPayload string, jsonPayload map<string,string>, timestamp string, "
+        "labels map<string,string>, trace string",
+    ),
+}
+FAILURE_PREFIX = {"elasticsearch": "elasticsearch adapter error: ", "cloudwatch": "cloudwatch adapter error (group "}
+OTHER_PREFIX = "adapter error: "
+
 _EMPTY = "map<string,string>"
+_CORRUPT = "_corrupt_record"
+
+
+def read_records(df: DataFrame, kind: str, column: str = "payload") -> DataFrame:
+    """One row per record: `record`, or `failed_text` of a record or a whole response that can't be read.
+
+    A response of the right shape is parsed once. Any other is taken apart: it fails as a whole if it isn't one JSON object
+    with a list (or nothing) at the place of the records, or if text follows the object; else record by record. So
+    every record of a response gives one row.
+    """
+    path, fields = RECORDS[kind]
+
+    def response(records: str) -> str:
+        for name in reversed(path):
+            records = f"struct<{name} {records}>"
+        return f"struct<r {records}, end boolean, {_CORRUPT} string>"
+
+    def member(parsed: str) -> Column:
+        return F.col(".".join((parsed, "r", *path)))
+
+    def sound(parsed: str) -> Column:
+        ended = F.coalesce(F.col(f"{parsed}.end"), F.lit(False))
+        return ended & F.col(f"{parsed}.{_CORRUPT}").isNull() & F.col(f"{parsed}.r").isNotNull()
+
+    # what is put after the payload is only read if nothing else follows its value
+    whole = F.concat(F.lit('{"r":'), F.col(column), F.lit(',"end":true}'))
+    schema = StructType.fromDDL(fields)
+    names = schema.fieldNames()
+    # members whose shape is checked by hand: the parser makes some of them NULL without a word
+    inner = [(f.name,) for f in schema if not isinstance(f.dataType, StringType)]
+    inner += [
+        (f.name, g.name)
+        for f in schema
+        if isinstance(f.dataType, StructType)
+        for g in f.dataType
+        if not isinstance(g.dataType, StringType)
+    ]
+    no_text = F.lit(None).cast("string")
+    no_record = F.lit(None).cast(f"struct<{fields}>")
+
+    def outcome(record: Column, text: Column) -> Column:
+        return F.struct(record.alias("record"), text.alias("failed_text"))
+
+    def one(text: Column) -> Column:
+        parsed = F.from_json(text, f"struct<{fields}, {_CORRUPT} string>")
+        bad = ~F.coalesce(F.startswith(F.ltrim(text), F.lit("{")), F.lit(False)) | parsed[_CORRUPT].isNotNull()
+        for place in inner:
+            value = parsed[place[0]] if len(place) == 1 else parsed[place[0]][place[1]]
+            bad = bad | (F.get_json_object(text, "$." + ".".join(place)).isNotNull() & value.isNull())
+        record = F.struct(*[parsed[n].alias(n) for n in names])
+        return F.when(bad, outcome(no_record, F.coalesce(text, F.lit("null")))).otherwise(outcome(record, no_text))
+
+    parts = F.from_json(member("apart"), "array<string>")
+    results = (
+        F.when(sound("fast"), F.transform(member("fast"), lambda x: F.when(x.isNull(), outcome(no_record, F.lit("null"))).otherwise(outcome(x, no_text))))
+        .when(sound("apart") & F.startswith(member("apart"), F.lit("[")) & parts.isNotNull(), F.transform(parts, one))
+        .otherwise(F.array(outcome(no_record, F.coalesce(F.col(column), F.lit("no payload")))))
+    )
+    return (
+        df.withColumn("fast", F.from_json(whole, response(f"array<struct<{fields}>>")))
+        .withColumn("apart", F.when(~sound("fast"), F.from_json(whole, response("string"))))
+        .withColumn("outcome", F.explode(results))
+        .withColumns({"record": F.col("outcome.record"), "failed_text": F.col("outcome.failed_text")})
+        .drop("fast", "apart", "outcome")
+    )
+
+
+def _good_records(df: DataFrame, kind: str, column: str) -> DataFrame:
+    return read_records(df, kind, column).where(F.col("failed_text").isNull())
 
 
 def _line_parts(df: DataFrame, line: str) -> DataFrame:
@@ -59,10 +148,9 @@ def normalize_loki(
 
     `ts_ns` keeps the nanoseconds for ordering.
     """
-    response = "data struct<result array<struct<stream map<string,string>, values array<array<string>>>>>"
     out = (
-        df.withColumn("response", F.from_json(F.col(column), response))
-        .withColumn("stream", F.explode("response.data.result"))
+        _good_records(df, "loki", column)
+        .withColumn("stream", F.col("record"))
         .withColumn("entry", F.explode("stream.values"))
         .withColumn("ts_ns", F.get("entry", F.lit(0)).try_cast("bigint"))
         .where(F.col("ts_ns").isNotNull())
@@ -94,15 +182,13 @@ def normalize_es(
     column: str = "payload",
 ) -> DataFrame:
     """Search responses: every hit's flat document. Names with a dot are keys as they stand."""
-    response = "hits struct<hits array<struct<_source map<string,string>>>>"
     doc = F.col("doc")
     every_key = (
         DOC_TIME_KEYS + DOC_SEVERITY_KEYS + DOC_MESSAGE_KEYS + DOC_SERVICE_KEYS + DOC_TRACE_KEYS
     )
     out = (
-        df.withColumn("response", F.from_json(F.col(column), response))
-        .withColumn("hit", F.explode("response.hits.hits"))
-        .withColumn("doc", F.coalesce("hit._source", F.create_map().cast(_EMPTY)))
+        _good_records(df, "elasticsearch", column)
+        .withColumn("doc", F.coalesce("record._source", F.create_map().cast(_EMPTY)))
         .withColumns(
             {
                 "ts": F.coalesce(
@@ -150,14 +236,9 @@ def normalize_datadog(
     column: str = "payload",
 ) -> DataFrame:
     """Search responses: every entry of `data`. Attributes give the trace and are not copied."""
-    response = (
-        "data array<struct<attributes struct<timestamp string, status string, message string, "
-        "service string, attributes map<string,string>>>>"
-    )
     out = (
-        df.withColumn("response", F.from_json(F.col(column), response))
-        .withColumn("entry", F.explode("response.data"))
-        .withColumn("a", F.col("entry.attributes"))
+        _good_records(df, "datadog", column)
+        .withColumn("a", F.col("record.attributes"))
         .withColumns(
             {
                 "ts": parse_iso(F.col("a.timestamp")),
@@ -180,11 +261,6 @@ def normalize_gcl(
     column: str = "payload",
 ) -> DataFrame:
     """Entry lists: text or JSON payload; the service from labels, else from the log name."""
-    response = (
-        "entries array<struct<logName string, resource struct<type string, labels map<string,string>>, "
-        "severity string, textPayload string, jsonPayload map<string,string>, timestamp string, "
-        "labels map<string,string>, trace string>>"
-    )
     body, text = F.col("e.jsonPayload"), present("e.textPayload")
     from_body = F.when(text.isNull(), present(first_present(body, LINE_TRACE_KEYS)))
     from_path = F.when(
@@ -195,8 +271,8 @@ def normalize_gcl(
     )
     resource = F.col("e.resource.labels")
     out = (
-        df.withColumn("response", F.from_json(F.col(column), response))
-        .withColumn("e", F.explode("response.entries"))
+        _good_records(df, "googlecloud", column)
+        .withColumn("e", F.col("record"))
         .withColumns(
             {
                 "ts": parse_iso(F.col("e.timestamp")),
@@ -222,23 +298,28 @@ def failed_records_as_events(
     df: DataFrame, kind: str, source: Column | str, ingest_ts: Column, column: str = "payload",
     keep: tuple = (),
 ) -> DataFrame:
-    """One ERROR event per payload that cannot be read; the run over the others goes on.
+    """One ERROR event per response or record that cannot be read; the run over the others goes on.
 
-    The failing source is both source and service of the event. An object without the response
-    member is an empty response, not a failure.
+    The failing source is both source and service of the event; the message holds the text that failed. An object
+    without the member that holds records is an empty response, not a failure. For "cloudwatch", `column` holds a
+    response that isn't JSON, and the message names the log group of its row.
     """
     source = F.lit(source) if isinstance(source, str) else source
-    prefix = "elasticsearch adapter error: " if kind == "elasticsearch" else "adapter error: "
-    broken = df.where(F.try_parse_json(F.col(column)).isNull())
+    if kind == "cloudwatch":
+        broken = df.withColumn("failed_text", F.coalesce(F.col(column), F.lit("no payload")))
+        broken = broken.where(F.try_parse_json(F.col(column)).isNull())
+        group = F.coalesce("log_group", F.lit("")) if "log_group" in df.columns else F.lit("")
+        prefix = F.concat(F.lit(FAILURE_PREFIX[kind]), group, F.lit("): "))
+    else:
+        broken = read_records(df, kind, column).where(F.col("failed_text").isNotNull())
+        prefix = F.lit(FAILURE_PREFIX.get(kind, OTHER_PREFIX))
     out = broken.withColumns(
         {
             "ts": ingest_ts.cast("timestamp"),
             "source": source,
             "service": source,
             "severity": F.lit(ERROR),
-            "message": F.concat(
-                F.lit(prefix), F.coalesce(F.col(column), F.lit("no payload"))
-            ),
+            "message": F.concat(prefix, F.col("failed_text")),
             "trace_id": F.lit(None).cast("string"),
             "fields": F.create_map().cast(_EMPTY),
         }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
+from faultline.operators.align import with_seq
 from faultline.plans.correlate import Detected, Settings, annotate, detect
 from faultline.session import materialize
 
@@ -50,8 +51,13 @@ class LiveTables:
         return f"{self.root}/start"
 
 
+PAIRS = "cascade_from string, service string, t bigint, s bigint, batch int"
+
+
 def _put(df: DataFrame, path: str, batch: int, *by: str) -> None:
-    """Write the rows of a batch; the same batch written again takes the place of the first try."""
+    """Write the rows of a batch; the same batch written again takes the place of the first try, also if it has no rows."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
     (
         df.withColumn("batch", F.lit(batch))
         .write.mode("overwrite")
@@ -83,6 +89,8 @@ def process_batch(
     first error is older, is seen as starting at its first event inside the lookback.
     """
     spark = batch.sparkSession
+    if seq not in batch.columns:  # numbers of later batches are larger
+        batch = with_seq(batch).withColumn(seq, F.col("seq") + F.lit(number % (1 << 16) << 46))
     _put(batch.withColumn("day", F.to_date("ts")), tables.landed, number, "day")
     schema = StructType(
         [*batch.schema.fields, StructField("batch", IntegerType()), StructField("day", DateType())]
@@ -103,13 +111,11 @@ def process_batch(
     )
     known = None
     if _exists(spark, tables.pairs):
-        known = spark.read.parquet(tables.pairs).where(F.col("batch") < number)
+        known = spark.read.schema(PAIRS).parquet(tables.pairs).where(F.col("batch") < number).select("cascade_from", "service")
 
     found = detect(recent, replace(settings, log_start_us=start), seq)
     mine = recent.where(F.col("batch") == number)
-    places = mine.select(
-        F.unix_micros("ts").alias("m_t"), F.col(seq).cast("bigint").alias("m_s")
-    )
+    places = mine.select(F.unix_micros("ts").alias("m_t"), F.col(seq).cast("bigint").alias("m_s")).distinct()
     at_mine = (F.col("t") == F.col("m_t")) & (F.col("s") == F.col("m_s"))
     signals = found.signals.join(places, at_mine, "left_semi")
 

@@ -222,13 +222,60 @@ def test_google(spark):
     assert got[2].severity == 4
 
 
+PREFIX = {"elasticsearch": "elasticsearch adapter error: ", "cloudwatch": "cloudwatch adapter error (group g): "}
+
+
 @pytest.mark.parametrize("kind", ["loki", "elasticsearch", "datadog", "googlecloud", "cloudwatch"])
 def test_failed_payload_is_one_error_event(spark, kind):
-    df = one_column(spark, ['{"data": [', "{}"], "payload")
+    df = one_column(spark, ['{"data": [', "{}"], "payload").withColumn("log_group", F.lit("g"))
     got = payloads.failed_records_as_events(df, kind, "src", F.lit(INGEST)).collect()
     assert len(got) == 1
     assert (got[0].severity, got[0].service, got[0].source) == (5, "src", "src")
-    assert got[0].message.endswith('adapter error: {"data": [')
+    assert got[0].message == PREFIX.get(kind, "adapter error: ") + '{"data": ['
+
+
+NORMALISERS = {
+    "loki": payloads.normalize_loki, "elasticsearch": payloads.normalize_es,
+    "datadog": payloads.normalize_datadog, "googlecloud": payloads.normalize_gcl,
+}
+GOOD = {
+    "loki": ('{"stream":{"app":"a"},"values":[["1705328523441000000","m"]]}', '{"data":{"result":%s}}'),
+    "elasticsearch": ('{"_source":{"message":"m","ts":"2024-01-15T14:22:03Z"}}', '{"hits":{"hits":%s}}'),
+    "datadog": ('{"attributes":{"message":"m","attributes":{"trace_id":"1"}}}', '{"data":%s}'),
+    "googlecloud": ('{"textPayload":"m","timestamp":"2024-01-15T14:22:03Z"}', '{"entries":%s}'),
+}
+WRONG = {
+    "loki": '{"stream":"x","values":[]}', "elasticsearch": '{"_source":"text"}',
+    "datadog": '{"attributes":{"attributes":"text"}}', "googlecloud": '{"jsonPayload":"text"}',
+}
+
+
+@pytest.mark.parametrize("kind", sorted(NORMALISERS))
+def test_no_record_is_lost(spark, kind):
+    record, outer = GOOD[kind]
+    whole = outer % f"[{record},{record}]"
+    cases = {  # payload: (events, errors)
+        whole: (2, 0),
+        outer % f"[{record},5,{WRONG[kind]},null,{record}]": (2, 3),
+        outer % f"[{WRONG[kind]}]": (0, 1), outer % f"[{record},{WRONG[kind]}]": (1, 1),
+        outer % "[]": (0, 0), "{}": (0, 0), outer % "null": (0, 0),
+        outer % '{"a":1}': (0, 1), outer % '"x"': (0, 1), outer % "5": (0, 1),
+        "[1]": (0, 1), '"x"': (0, 1), "null": (0, 1), "": (0, 1),
+        whole + " trailing": (0, 1), whole + whole: (0, 1), whole + "\n" + whole: (0, 1), whole + "}": (0, 1),
+        "  " + whole + "\n": (2, 0),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, payload string")
+    events = NORMALISERS[kind](df, "s", F.lit(INGEST), keep=("id",)).groupBy("id").count().collect()
+    errors = payloads.failed_records_as_events(df, kind, "s", F.lit(INGEST), keep=("id",)).groupBy("id").count().collect()
+    events, errors = ({r["id"]: r["count"] for r in x} for x in (events, errors))
+    got = {p: (events.get(i, 0), errors.get(i, 0)) for i, p in enumerate(cases)}
+    assert got == cases
+
+
+def test_text_after_an_object_makes_a_plain_line(spark):
+    lines_ = ['{"level":"error","message":"x"} trailing', '{"message":"a"}{"message":"b"}', '{"message":"a"},{"message":"b"}', '{"message":"a"}]']
+    got = events_of(spark, [*lines_, '{"message":"alone"}'])
+    assert sorted(r.message for r in got) == sorted([*lines_, "alone"])
 
 
 def test_registry(spark):

@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from faultline.plans import oracles
+from faultline.plans.queries import QUERIES
 from tests.compare import differences, oracle_connection
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-SQL = entry_point.oracle_sql()
+SQL = oracles.build()
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +19,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry_point.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert differences(entry_point.queries()[name](spark, SF), con, SQL[name]) == []
 
