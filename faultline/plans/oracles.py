@@ -132,6 +132,9 @@ def result_json_sql() -> str:
     # The object is put together by hand: members in order, absent ones left out.
     return with_log(
         SIGNALS,
+        SIL_EVENTS,
+        """tol AS (SELECT p, string_agg(service, ',' ORDER BY service) AS names, round(sum(drop_pct), 6) AS drops
+    FROM sil GROUP BY p)""",
         select=f"""SELECT '{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
       || rtrim(rtrim(strftime(ts, '.%f'), '0'), '.') || 'Z","service":"' || service
       || '","source":"' || source || '","severity":"' || {SEVERITY_NAME}
@@ -140,7 +143,8 @@ def result_json_sql() -> str:
       || ',"is_signal":' || CASE WHEN signal_type IS NULL THEN 'false' ELSE 'true' END
       || coalesce(',"signal_type":"' || signal_type || '"', '')
       || coalesce(',"cascade_from":"' || cascade_from || '"', '')
-      || ',"fields":{{"k":"' || k || '"}}}}' AS value FROM sig""",
+      || ',"fields":{{"k":"' || k || '"}}}}' AS value, names AS silent_services, drops AS drop_pct_sum
+    FROM sig LEFT JOIN tol ON tol.p = sig.p""",
     )
 
 

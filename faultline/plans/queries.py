@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +30,13 @@ SILENCE_PCT = 50.0
 OFFSETS_MS = {"src-0": -200, "src-2": 1500}
 SINCE = datetime(2024, 1, 8, tzinfo=timezone.utc)
 UNTIL = datetime(2024, 1, 15, 12, tzinfo=timezone.utc)
-SETTINGS = Settings(
+ALL_SIGNALS = Settings(
     window_ms=WINDOW_MS,
     anomaly_multiplier=ANOMALY_MULTIPLIER,
     baseline_us=ANOMALY_US,
-    silence=False,
+    silence_us=SILENCE_US,
+    silence_threshold_pct=SILENCE_PCT,
 )
-ALL_SIGNALS = replace(SETTINGS, silence=True, silence_us=SILENCE_US, silence_threshold_pct=SILENCE_PCT)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,8 +173,15 @@ def merge_sources(spark, sf_dir):
 
 @query("result_json")
 def result_json(spark, sf_dir):
-    out = sinks.to_result_json(correlate(log_events(spark, sf_dir), SETTINGS))
-    return out.select("value")
+    """The lines, with the entries of `silence` set apart: their numbers are rounded before they are compared."""
+    out = sinks.to_result_json(correlate(log_events(spark, sf_dir), ALL_SIGNALS))
+    told = F.from_json("value", "silence array<struct<service string, drop_pct double>>")["silence"]
+    drops = F.aggregate(told, F.lit(0.0), lambda a, x: a + x["drop_pct"])
+    return out.select(
+        F.regexp_replace("value", r',"silence":\[[^\]]*\]', "").alias("value"),
+        F.array_join(F.transform(told, lambda x: x["service"]), ",").alias("silent_services"),
+        F.round(drops, 6).alias("drop_pct_sum"),
+    )
 
 
 # --- projections and filters -----------------------------------------------------------------------
@@ -274,7 +280,7 @@ def errors_only(spark, sf_dir):
 
 @query("signal_only")
 def signal_only(spark, sf_dir):
-    out = align.signal_only(correlate(log_events(spark, sf_dir), SETTINGS))
+    out = align.signal_only(correlate(log_events(spark, sf_dir), ALL_SIGNALS))
     return out.select(F.col("seq").alias("event_id"), "service", "signal_type", "cascade_from")
 
 
@@ -467,7 +473,7 @@ def history(spark, sf_dir):
 @query("suppress")
 def suppressed(spark, sf_dir):
     ev = log_events(spark, sf_dir)
-    found = detect(ev, SETTINGS).signals.select(
+    found = detect(ev, ALL_SIGNALS).signals.select(
         F.timestamp_micros("t").alias("ts"), "s", "service", "signal_type"
     )
     rules = spark.createDataFrame(

@@ -30,10 +30,17 @@ STATE_CELLS = 32
 class _SpanState:
     """Times of a key within the span, kept in a map of cells."""
 
-    def __init__(self, handle: StatefulProcessorHandle, span: int, ttl_ms: int | None):
+    def __init__(self, handle: StatefulProcessorHandle, span: int):
         self.width = max(1, span // STATE_CELLS)
         self.span = span
-        self.cells = handle.getMapState("cells", "cell bigint", "times array<bigint>", ttl_ms)
+        self.cells = handle.getMapState("cells", "cell bigint", "times array<bigint>")
+
+    def last_use_ms(self, latest: int) -> int:
+        """When the watermark is here, nothing can depend on the times of a key whose last event is `latest`."""
+        return -(-(latest + 2 * self.span) // 1000)
+
+    def clear(self) -> None:
+        self.cells.clear()
 
     def load(self) -> np.ndarray:
         kept = [np.asarray(v[0], dtype=np.int64) for _, v in self.cells.iterator()]
@@ -64,13 +71,14 @@ def _repeat(text: str, n: int) -> pd.Series:
 
 class AnomalyProcessor(StatefulProcessor):
     def __init__(
-        self, baseline_us: int, multiplier: float, min_span: int, min_base: int, ttl_ms: int | None
+        self, baseline_us: int, multiplier: float, min_span: int, min_base: int
     ):
-        self.baseline_us, self.multiplier, self.ttl_ms = baseline_us, multiplier, ttl_ms
+        self.baseline_us, self.multiplier = baseline_us, multiplier
         self.min_span, self.min_base = min_span, min_base
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = _SpanState(handle, self.baseline_us, self.ttl_ms)
+        self.handle = handle
+        self.state = _SpanState(handle, self.baseline_us)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _ordered(rows)
@@ -90,7 +98,11 @@ class AnomalyProcessor(StatefulProcessor):
             & (older >= self.min_base)
             & (recent >= older * self.multiplier)
         )
-        self.state.save(t, int(t[-1]))
+        latest = int(max(t[-1], kept[-1])) if len(kept) else int(t[-1])
+        self.state.save(t, latest)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(self.state.last_use_ms(latest))
         out = pdf.loc[hit, ["t", "seq"]]
         yield pd.DataFrame(
             {
@@ -102,6 +114,10 @@ class AnomalyProcessor(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame({c: _repeat("", 0) if c == "service" else np.empty(0, np.int64) for c in ("service", "t", "s", "older", "recent")})
+
     def close(self) -> None:
         pass
 
@@ -113,7 +129,7 @@ class SilenceProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = _SpanState(handle, 2 * self.half, None)
+        self.state = _SpanState(handle, 2 * self.half)
         self.told = handle.getValueState("told", "told boolean")
 
     def _quiet(self, times: np.ndarray, since: int, before: int | None):
@@ -137,6 +153,7 @@ class SilenceProcessor(StatefulProcessor):
     def _wait(self, times: np.ndarray, since: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        self.handle.registerTimer(self.state.last_use_ms(int(times[-1])))
         ahead = self._quiet(times, since, None)
         if ahead is not None:
             # Timers are in milliseconds; the exact instant is worked out again when one fires.
@@ -186,6 +203,9 @@ class SilenceProcessor(StatefulProcessor):
             if quiet:
                 found.append(quiet)
                 self.told.update((True,))
+        if not len(times) or expiredTimerInfo.getExpiryTimeInMs() >= self.state.last_use_ms(int(times[-1])):
+            self.state.clear()
+            self.told.clear()
         yield self._frame(key, found)
 
     def close(self) -> None:
@@ -206,19 +226,21 @@ def stream_anomalies(
     baseline_us: int = 300_000_000,
     multiplier: float = 10.0,
     seq: str = "seq",
-    ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Anomalous errors of a watermarked stream: service, t, s, older, recent."""
+    """Anomalous errors of a watermarked stream: service, t, s, older, recent.
+
+    A service's state goes when the watermark is two spans past its last error.
+    """
     return (
         _keyed(events.where(is_error()), seq)
         .groupBy("service")
         .transformWithStateInPandas(
             AnomalyProcessor(
-                baseline_us, multiplier, anomaly.MIN_IN_SPAN, anomaly.MIN_IN_BASELINE, ttl_ms
+                baseline_us, multiplier, anomaly.MIN_IN_SPAN, anomaly.MIN_IN_BASELINE
             ),
             "service string, t bigint, s bigint, older bigint, recent bigint",
             outputMode="Append",
-            timeMode="ProcessingTime" if ttl_ms else "EventTime",
+            timeMode="EventTime",
         )
     )
 
@@ -233,7 +255,8 @@ def stream_silence(
     """Silence of a watermarked stream at the first instant the drop holds: service, t, older, ...
 
     An event-time timer per service stands in for the events of other services: a silence is told
-    when the watermark passes it. Nothing is told in the first span after `log_start_us`.
+    when the watermark passes it. Nothing is told in the first span after `log_start_us`. A service's state goes when the
+    watermark is two spans past its last event.
     """
     return (
         _keyed(events.where(present("service").isNotNull()), seq)

@@ -1,11 +1,13 @@
 """Small incidents with known outcomes."""
 
+import statistics
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import align, anomaly, cascade, report, silence
+from faultline.operators.rates import half_window_rates
 from faultline.plans.correlate import Settings, annotate, correlate, detect, signal_history
 
 T0 = datetime(2024, 1, 15, 14, 22, tzinfo=timezone.utc)
@@ -191,3 +193,29 @@ def test_drift_warning_only_past_the_window(spark):
     rows = [(0, "payment", 5, None), (600, "order", 5, None), (650, "notify", 5, None)]
     got = cascade.drift_origins(events(spark, rows), 500, 200).collect()
     assert [(r.service, r.cascade_from) for r in got] == [("order", "payment")]
+
+
+def test_sources_that_number_their_own_rows(spark):
+    """Two sources use the same (ts, seq) for different services: no row is doubled, signals stay with their service."""
+    a = events(spark, [(0, "payment", 5, None), (300, "cart", 3, None)])
+    b = events(spark, [(0, "ledger", 3, None), (300, "order", 5, None)]).withColumn("source", F.lit("other"))
+    out = cascade.detect_cascades(align.union_sources(a, b), 500)
+    got = {r.service: (r.cascade_from, r.new_cascade) for r in out.collect()}
+    assert out.count() == 4
+    assert got == {"payment": (None, False), "cart": (None, False), "ledger": (None, False), "order": ("payment", True)}
+
+
+def test_odd_spans_are_refused(spark):
+    rows = spark.createDataFrame([("a", 0, 0)], "k string, t bigint, s bigint")
+    with pytest.raises(ValueError, match="even"):
+        half_window_rates(rows, 61)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8])
+def test_suggested_offset_is_the_exact_median(spark, n):
+    deltas = [3, 3, 900, -40, 7, 7, 7, 12][:n]
+    rows = [(T0 + timedelta(milliseconds=5000 + d), "ref", f"t{i}") for i, d in enumerate(deltas)]
+    rows += [(T0 + timedelta(milliseconds=5000), "late", f"t{i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "ts timestamp, source string, trace_id string")
+    (r,) = align.suggest_offsets(df, "ref").collect()
+    assert (r.source, r.offset_ms, r.traces) == ("late", statistics.median(deltas), n)

@@ -132,3 +132,25 @@ def test_stateful_silence_equals_batch_at_every_instant(spark, events, tmp_path,
         (r.service, r.t, r.older, r.recent) for r in want
     }
     assert len(got) == len(want) > 3
+
+
+def test_quiet_start_rerun_and_lines_without_number(spark, tmp_path):
+    """A log without errors finds no pair; then errors come, that batch fails and runs again; events have no seq."""
+    settings = Settings(window_ms=5000, silence=False)
+    tables = LiveTables(str(tmp_path))
+
+    def batch(*rows):
+        rows = [{"t": t * SECOND, "s": 0, "service": s, "err": e, "trace": None} for t, s, e in rows]
+        return table(spark, rows).drop("seq")
+
+    process_batch(batch((1000, "a", False), (1001, "b", False)), 0, tables, settings)
+    process_batch(batch((1002, "a", False)), 1, tables, settings)
+    process_batch(batch((1003, "a", True), (1004, "b", True)), 2, tables, settings)
+    process_batch(batch((1005, "a", False)), 2, tables, settings)
+    process_batch(batch((1006, "a", True), (1007, "b", True)), 3, tables, settings)
+    out = {(r.ts.timestamp(), r.service): r for r in spark.read.parquet(tables.results).collect()}
+    assert sorted(out) == [(1000, "a"), (1001, "b"), (1002, "a"), (1005, "a"), (1006, "a"), (1007, "b")]
+    last = out[(1007, "b")]
+    assert (last.cascade_from, last.new_cascade) == ("a", True)
+    pairs = spark.read.parquet(tables.pairs).collect()
+    assert [(r.cascade_from, r.service, r.batch) for r in pairs] == [("a", "b", 3)]
