@@ -23,8 +23,8 @@ DIMENSIONS, N = 512, 3
 LETTERS = 4096
 SEED = 20_240_601
 UNKNOWN = "und"
-#: A text is rejected as being in none of the languages below this cosine.
-LEAST = 0.02
+#: A text of this many characters is rejected as being in none of the languages below this cosine; shorter ones are unsure.
+LONG, LEAST = 200, 0.1
 
 
 @functools.lru_cache(maxsize=1)

@@ -12,12 +12,15 @@ from faultline.llm.queries import word_tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages that the documents name."""
+    """Documents whose text is in one of the languages that the documents name; all of them if they name none."""
     importable(spark)
     model = langid.learn(docs)
+    if not model[0]:
+        return docs
     rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("t"))
     found = langid.predict(rows, model, key="doc", text="t")
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST)).select("doc.*")
+    sure = (F.length("doc.text") < langid.LONG) | (F.col("score") >= langid.LEAST)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & sure).select("doc.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
