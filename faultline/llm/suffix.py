@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +26,8 @@ from faultline.llm.common import fresh, slices
 from faultline.llm.words import BYTE, mix, powers, utf8
 
 WINDOW, GRAM = 50, 16
+#: Prefixes of a block, for minima over ranges.
+SPAN = 64
 
 
 def sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,10 @@ class Columns:
         return np.fromfile(self.folder / name, kind)
 
     def write(self, name: str, new: np.ndarray) -> None:
-        new.tofile(self.folder / name)
+        """Over the old file, which is never longer."""
+        path = self.folder / name
+        with path.open("r+b" if path.exists() else "wb") as f:
+            f.write(new.data)
 
     def symbols(self, some: np.ndarray, length: int) -> np.ndarray:
         """What stands before the suffix of this length in each string; 0 at its start."""
@@ -92,8 +97,9 @@ class Columns:
             before, after = order[np.maximum(mine - 1, 0)], order[np.minimum(mine + 1, len(order) - 1)]
             has_before = (mine > bare) & (symbol[before] == here)
             has_after = (mine < len(order) - 1) & (symbol[after] == here)
-            low = self.least(prefix, before[has_before] + 1, place[has_before])
-            high = self.least(prefix, place[has_after] + 1, after[has_after])
+            least = self.minima(prefix)
+            low = least(before[has_before] + 1, place[has_before])
+            high = least(place[has_after] + 1, after[has_after])
             total = len(symbol) + len(some)
             old = np.ones(total, bool)
             old[new] = False
@@ -122,13 +128,39 @@ class Columns:
             place = new
 
     @staticmethod
-    def least(prefix: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Minima of prefix over [first, last]."""
-        if not len(first):
-            return np.zeros(0, np.uint8)
-        both = np.empty(2 * len(first), np.int64)
-        both[::2], both[1::2] = first, last + 1
-        return np.minimum.reduceat(np.append(prefix, np.uint8(255)), both)[::2]
+    def minima(prefix: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function for the minima of prefix over ranges [first, last]: by minima within and across blocks of SPAN."""
+        blocks = -(-len(prefix) // SPAN)
+        grid = np.full(blocks * SPAN, 255, np.uint8)
+        grid[: len(prefix)] = prefix
+
+        def doubled(low: np.ndarray, limit: int) -> list[np.ndarray]:
+            levels = [low]  # minima of 1, 2, 4, ... entries from each on
+            while 2 << (len(levels) - 1) <= min(len(low), limit):
+                half = 1 << (len(levels) - 1)
+                levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+            return levels
+
+        def of(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            out = np.empty(len(first), np.uint8)
+            level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+            for j in np.unique(level):
+                some = np.flatnonzero(level == j)
+                out[some] = np.minimum(levels[j][first[some]], levels[j][last[some] + 1 - (1 << int(j))])
+            return out
+
+        near = doubled(grid, SPAN)
+        across = doubled(np.ascontiguousarray(near[-1][::SPAN]), blocks)
+
+        def least(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            x, y = first // SPAN, last // SPAN
+            out = of(near, first, np.minimum(last, x * SPAN + SPAN - 1))
+            more, far = np.flatnonzero(y > x), np.flatnonzero(y - x > 1)
+            out[more] = np.minimum(out[more], of(near, y[more] * SPAN, last[more]))
+            out[far] = np.minimum(out[far], of(across, x[far] + 1, y[far] - 1))
+            return out
+
+        return least
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, suffix length, group): suffixes of WINDOW bytes or more; equal windows have one group."""
