@@ -17,13 +17,21 @@ HEADLINE = (
     "normalize_lines",
     "normalize_loki",
     "normalize_es",
+    "normalize_cloudwatch",
+    "normalize_datadog",
+    "normalize_gcl",
+    "error_events",
+    "damaged_responses",
     "parse_timestamp",
     "merge_sources",
     "clock_offset",
     "time_range",
     "error_bursts",
     "cascades",
+    "cascade_trace",
     "cascade_chains",
+    "drift_warnings",
+    "suggest_offsets",
     "anomaly",
     "volume_rates",
     "silence",
