@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import groups, materialize, slices
 from faultline.llm.lm import packed, spread, unpacked
-from faultline.llm.words import mix
+from faultline.llm.words import mix, sums
 
 #: Largest filter, bits for each anchor, and probes.
 MOST_BYTES, ITEM_BITS, PROBES = 48 << 20, 10, 3
 #: Distinct anchors a task gathers before it sends them; bytes of pieces it gathers.
-GATHERED, PIECE_BYTES = 3_000_000, 12 << 20
+GATHERED, PIECE_BYTES = 3_000_000, 3 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -31,6 +31,7 @@ class Pieces:
 
     def __init__(self, gram: np.ndarray, owner_ends: np.ndarray, length: int, k: int):
         """gram: hash of the k-gram that starts at each unit; owner_ends: offsets of the documents, in units."""
+        self.length = length
         width, n = length - k + 1, int(owner_ends[-1])
         self.first = self.last = self.at = self.row = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.uint64)
@@ -161,8 +162,9 @@ def spans(
 ) -> DataFrame:
     """(k, h, spans): stretches of each document that `judge` finds, as pairs of little-endian 32-bit start and end.
 
-    pieces(texts) gives Pieces, the bytes of the texts, and each piece's first and last byte; judge(key, doc, start, data, ends, at)
-    gets the pieces of some anchors, ordered by anchor, with documents in order, and returns (piece, start, end) in units.
+    pieces(texts) gives Pieces, the bytes of the texts, and each piece's first and last byte; judge(key, k, h, start, shift, data,
+    ends) gets the pieces of some anchors, ordered by anchor, with documents in order, and returns (piece, start, end) in
+    units. Of equal pieces it gets those that are not duplicates of an earlier one as a whole; the others are spans.
     """
     spark = rows.sparkSession
     rows = rows.select("k", "h", "t")
@@ -178,6 +180,9 @@ def spans(
             ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(1))
             cut = np.searchsorted(spread(key, parts), np.arange(parts + 1))
             size = (last - first)[some]
+            total, down = sums(data)
+            name = mix((total[last[some]] - total[first[some]]) * down[first[some]] + size.astype(np.uint64))
+            units = found.last[some] + found.length - found.first[some]
             base = found.base[row]
             for p in np.flatnonzero(np.diff(cut)):
                 a, z = cut[p], cut[p + 1]
@@ -188,19 +193,32 @@ def spans(
                 blob = packed(
                     ids[kinds].astype("<i8"), hashes[kinds].astype("<i8"), key[a:z], doc.astype("<u4"),
                     (found.first[x] - base[a:z]).astype("<u4"), (found.at[x] - found.first[x]).astype("<u1"), n.astype("<u4"), data[where],
+                    name[a:z], units[a:z].astype("<u2"),
                 )
                 yield pa.record_batch([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in groups(batches, 1):
             for a, z in zip(at, at[1:]):
-                all_ = [unpacked(x.as_buffer(), "<i8", "<i8", "<u8", "<u4", "<u4", "<u1", "<u4", "<u1") for x in b.column(1).slice(int(a), int(z - a))]
+                all_ = [unpacked(x.as_buffer(), "<i8", "<i8", "<u8", "<u4", "<u4", "<u1", "<u4", "<u1", "<u8", "<u2") for x in b.column(1).slice(int(a), int(z - a))]
                 k, h = (np.concatenate([x[i][x[3]] for x in all_]) for i in (0, 1))
-                key, start, shift, size = (np.concatenate([x[i] for x in all_]) for i in (2, 4, 5, 6))
+                key, start, shift, size, name, units = (np.concatenate([x[i] for x in all_]) for i in (2, 4, 5, 6, 8, 9))
                 data = np.concatenate([x[7] for x in all_])
-                order = np.lexsort((start, h, k, key))
-                kinds, counts = np.unique(key, return_counts=True)
-                order = order[np.isin(key[order], kinds[counts > 1], assume_unique=False)]
+                order = np.lexsort((start, h, k, name, key))
+                new = np.ones(len(order), bool)
+                new[1:] = (key[order[1:]] != key[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                whole = k[order] > k[order[head]]
+                if not by_text:  # a document's own earlier piece counts too
+                    x, y = order[1:], order[:-1]
+                    whole[1:] |= ~new[1:] & (k[x] == k[y]) & (h[x] == h[y]) & (start[x] > start[y])
+                if whole.any():
+                    x = order[whole]
+                    yield from _by_document(k[x], h[x], start[x].astype(np.int64), start[x].astype(np.int64) + units[x])
+                order = order[~whole]
+                order = order[np.lexsort((start[order], h[order], k[order], key[order]))]
+                kinds, counts = np.unique(key[order], return_counts=True)
+                order = order[np.isin(key[order], kinds[counts > 1])]
                 if not len(order):
                     continue
                 ends = np.concatenate([[0], np.cumsum(size.astype(np.int64))])

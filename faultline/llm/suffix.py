@@ -23,20 +23,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from faultline.llm.anchors import Pieces, covered, documents, spans, with_spans
 from faultline.llm.common import fresh, slices
-from faultline.llm.words import BYTE, mix, powers, utf8
+from faultline.llm.words import mix, sums, utf8
 
 WINDOW, GRAM = 50, 16
 #: Prefixes of a block, for minima over ranges.
 SPAN = 64
 
 
-def sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
-    return total, down
-
-
 def pieces(column: pa.Array) -> tuple:
     data, offsets = utf8(column)
     total, down = sums(data)

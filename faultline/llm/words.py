@@ -98,6 +98,14 @@ class Words:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+def sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial over all bytes, and the powers that shift it back."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
+    return total, down
+
+
 def windows(key: np.ndarray, width: int) -> np.ndarray:
     """Hash of every `width` consecutive keys; the result is shorter than key by width - 1."""
     n = len(key) - width + 1
