@@ -1,16 +1,17 @@
 """Scoring by a bigram model whose counts live in a log-frequency Bloom filter.
 
-Tokens are counted exactly over the whole training corpus: tasks send sorted token hashes of a few MB of text at a time,
-packed by hash range; the task of a range sums counts, answers what each text needs from them, and writes its segment of
-the filter. An n-gram of count c is put in once for every level up to 1 + floor(log(c, BASE)); a count is read back by
-probing level after level until one misses. The filter goes to the workers; MOST_BYTES bounds it whatever
-the corpus (beyond that its error rate rises), and n-grams below CUTOFF aren't in it. A token's probability mixes the
-estimates from the bigram and from the token alone.
+Texts are written once as token numbers, some MB of text to a slice. Tasks send a slice's sorted hashes of tokens and of
+bigrams, packed by hash range; the task of a range sums counts over the whole training corpus, makes its segment of the
+filter, as large as its items need, and answers each slice's hashes from it. Ranges grow in number with the text, so a
+segment stays small and no worker or driver holds the whole filter. An n-gram of count c is put in once for every level up
+to 1 + floor(log(c, BASE)); a count is read back by probing level after level until one misses. N-grams below CUTOFF aren't
+in it. A token's probability mixes the estimates from the bigram and from the token alone.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,13 @@ END = np.uint64(0x656E64)  # the end token; words' hashes fill 64 bits
 BASE, LEVELS = 1.5, 64
 #: The smallest count kept of single tokens and of bigrams.
 CUTOFF = (1, 2)
-#: Bits for each item, probes for each level, and the largest filter.
-ITEM_BITS, PROBES, MOST_BYTES = 12, 4, 96 << 20
+#: Bits for each item and probes for each level.
+ITEM_BITS, PROBES = 12, 4
+#: Bytes of text for each hash range.
+RANGE_BYTES = 64 << 20
 #: Weight of the bigram estimate; the rest is the single token's.
 BIGRAM = 0.3
 _STEP = np.uint64(0xD1342543DE82EF95)
-#: Distinct bigrams that a task gathers before it sends them.
-GATHERED = 3_000_000
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +69,15 @@ def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def planes(key: np.ndarray) -> np.ndarray:
+    """Differences of rising keys, their first bytes, then their second ones and so on: short when compressed."""
+    return np.diff(key, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def keys_of(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def probes(key: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
     x = mix(key ^ np.uint64(level * int(_STEP) % 2**64))
     for _ in range(PROBES):
@@ -75,11 +85,12 @@ def probes(key: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[np.n
         x = mix(x + _STEP)
 
 
-def segment(key: np.ndarray, count: np.ndarray, most: int, cutoff: int) -> bytes:
-    """A filter for the n-grams of one hash range, of `most` bytes at the largest."""
+def segment(key: np.ndarray, count: np.ndarray, most: int | None, cutoff: int) -> bytes:
+    """A filter for the n-grams of one hash range, as large as they need, or of `most` bytes at the largest."""
     key, count = key[count >= cutoff], count[count >= cutoff]
     level = np.minimum(1 + np.floor(np.log(count / cutoff) / math.log(BASE) + 1e-9).astype(np.int64), LEVELS)
-    size = 8 * min(most, max(8, ITEM_BITS * int(level.sum()) // 8 + 1))
+    need = max(8, ITEM_BITS * int(level.sum()) // 8 + 1)
+    size = 8 * (need if most is None else min(most, need))
     bits = np.zeros(size, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         for at in probes(key[level >= j], j, size):
@@ -104,8 +115,8 @@ class Filter:
         self.size = np.array([8 * len(s) for s in segments], np.int64)
         self.base = np.cumsum(self.size) - self.size
 
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Counts as the filter has them, by the last level that all probes hit, 0 if none."""
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """The last level that all probes hit, 0 if none."""
         part = spread(key, len(self.size))
         base, size = self.base[part], self.size[part]
         found = np.zeros(len(key), np.int64)
@@ -119,7 +130,11 @@ class Filter:
             if not len(some):
                 break
             found[some] = j
-        return self.value[found]
+        return found
+
+    def counts(self, key: np.ndarray) -> np.ndarray:
+        """Counts as the filter has them."""
+        return self.value[self.levels(key)]
 
 
 def bigrams(key: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,171 +153,145 @@ def score(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text
     end token. Repeated rows are learned and scored each. Other columns are not read. If nothing is learned, N and V are 0.
     """
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col(key).cast("long").alias("k"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
         F.coalesce(F.col(held_out), F.lit(False)).alias("o"),
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     )
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, kind, sid, k, h, o, n, blob): kind 0 tokens by text, kind 1 bigrams."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def row(bucket: int, kind: int, sid: int, blob: bytes, meta: tuple = (None,) * 4) -> pa.RecordBatch:
-            values = [[bucket], [kind], [sid], *([m] for m in meta), [blob]]
-            return pa.record_batch([pa.array(v, t) for v, t in zip(values, _KINDS.values())], list(_KINDS))
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([x for x, _ in held])
-            kinds, back = np.unique(keys, return_inverse=True)
-            return kinds, np.bincount(back, np.concatenate([c for _, c in held])).astype(np.uint32)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of texts: keys, flags, lengths in tokens, bytes, and the distinct tokens with each token's place in them."""
+        for b in slices(batches, "t"):
+            tokens_, offsets = tokens(b.column(2))
+            names, places = np.unique(tokens_, return_inverse=True)
+            values = [b.column(0).to_pylist(), b.column(1).to_pylist(), np.diff(offsets).tolist(), int(pc.sum(pc.binary_length(b.column(2))).as_py())]
+            # a random name: slices of the same texts are different slices
+            values = [int.from_bytes(os.urandom(8), "little") >> 1, *values, packed(planes(names), places.astype(np.uint32))]
+            yield _batch(_SLICE, values)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = merged()
-            cut = np.searchsorted(spread(keys, parts), np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cut)):
-                a, z = cut[p], cut[p + 1]
-                yield row(int(p), 1, 0, packed(keys[a:z], counts[a:z]))
-            held.clear()
+    sliced = materialize(rows.mapInArrow(number, _schema(_SLICE)))
+    size = sliced.agg(F.sum("size")).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
-        for b in slices(batches, "t"):
-            key, offsets = tokens(b.column(3))
-            out = np.asarray(b.column(2))
-            owner = np.repeat(np.arange(len(out)), np.diff(offsets))
-            pair, inner = bigrams(key, offsets)
-            learned = pair[inner & ~out[owner]]
-            kinds, counts = np.unique(learned, return_counts=True)
-            held.append((kinds, counts))
-            if sum(len(x) for x, _ in held) > GATHERED:
-                held[:] = [merged()]
-                if len(held[0][0]) > GATHERED // 2:
-                    yield from flush()
-
-            order = np.argsort(key, kind="stable")
-            k, r = key[order], owner[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-            first = np.flatnonzero(new)
-            tf = np.diff(np.concatenate([first, [len(k)]])).astype(np.uint32)
-            k, r = k[first], r[first].astype(np.uint32)
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = k[1:] != k[:-1]
-            starts = np.flatnonzero(fresh)
-            texts = np.diff(np.concatenate([starts, [len(k)]])).astype(np.uint32)
-            train = np.add.reduceat(np.where(out[r], 0, tf), starts).astype(np.uint32)
-            names = k[starts]
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each slice and range: kind 0 its tokens by text, kind 1 its bigrams."""
+        for sid, out, offsets, names, places in _slices(batches):
+            n = len(out)
+            owner = np.repeat(np.arange(n), np.diff(offsets))
+            both, tf = np.unique(places * n + owner, return_counts=True)
+            name, r = both // n, (both % n).astype(np.uint32)
+            texts = np.bincount(name, minlength=len(names)).astype(np.uint32)
+            train = np.bincount(name, np.where(out[r], 0, tf), minlength=len(names)).astype(np.uint32)
+            tf, ends = tf.astype(np.uint32), np.concatenate([[0], np.cumsum(texts, dtype=np.int64)])
             cut = np.searchsorted(spread(names, parts), np.arange(parts + 1))
-            ends = np.concatenate([starts, [len(k)]])
-            sid = int(windows(np.asarray(pc.fill_null(b.column(0), -1)).astype(np.uint64) ^ np.asarray(b.column(1)).view(np.uint64), len(out))[0] >> np.uint64(1))
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(cut)):
                 a, z = cut[p], cut[p + 1]
-                if a == z and p:
-                    continue
                 i, j = ends[a], ends[z]
-                meta = (b.column(0).to_pylist(), b.column(1).to_pylist(), out.tolist(), np.diff(offsets).tolist()) if p == 0 else (None,) * 4
-                yield row(p, 0, sid, packed(names[a:z], train[a:z], texts[a:z], r[i:j], tf[i:j], np.array([len(out)], np.uint32)), meta)
-        if held:
-            yield from flush()
+                yield _batch(_SENT, [int(p), 0, sid, packed(planes(names[a:z]), train[a:z], texts[a:z], r[i:j], tf[i:j], np.array([n], np.uint32))])
+            kinds, back, inner = _pairs(names[places], offsets)
+            train = np.bincount(back, ~out[owner[inner]], minlength=len(kinds)).astype(np.uint32)
+            cut = np.searchsorted(spread(kinds, parts), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)):
+                a, z = cut[p], cut[p + 1]
+                yield _batch(_SENT, [int(p), 1, sid, packed(planes(kinds[a:z]), train[a:z])])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each range: answers by slice (kind 0), and a segment of the filter with N and V (kinds 2 and 3)."""
+        """For each range: answers by slice (kinds 0 and 1), and its share of N and V (kind 2)."""
         for b, at in groups(batches, 2):
             for a, z in zip(at, at[1:]):
                 g = b.slice(int(a), int(z - a))
-                blobs = [x.as_buffer() for x in g.column(7)]
-                bucket, kind = g.column(0)[0].as_py(), g.column(1)[0].as_py()
-                most = MOST_BYTES // (2 * parts)
-                if kind == 1:
-                    both = [unpacked(x, "<u8", "<u4") for x in blobs]
-                    keys, back = np.unique(np.concatenate([x for x, _ in both]), return_inverse=True)
-                    counts = np.bincount(back, np.concatenate([c for _, c in both]))
-                    yield _answer(bucket, 3, 0, [None] * 4, segment(keys, counts, most, CUTOFF[1]), 0, 0)
-                    continue
-                all_ = [unpacked(x, "<u8", "<u4", "<u4", "<u4", "<u4", "<u4") for x in blobs]
-                keys, back = np.unique(np.concatenate([x[0] for x in all_]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([x[1] for x in all_]), minlength=len(keys))
-                yield _answer(bucket, 2, 0, [None] * 4, segment(keys, counts, most, CUTOFF[0]), int(counts.sum()), int((counts > 0).sum()))
-                done = 0
-                for i, (names, _, texts, r, tf, n) in enumerate(all_):
-                    c = np.repeat(counts[back[done : done + len(names)]], texts)
-                    done += len(names)
+                bucket, kind, sids = g.column(0)[0].as_py(), g.column(1)[0].as_py(), g.column(2).to_pylist()
+                kinds = ("<u1", "<u4") if kind else ("<u1", "<u4", "<u4", "<u4", "<u4", "<u4")
+                # keys and counts of all slices; the rest is unpacked again when its slice is answered
+                both = [(keys_of(x), c) for x, c, *_ in (unpacked(x.as_buffer(), *kinds) for x in g.column(3))]
+                done = np.cumsum([0, *(len(x) for x, _ in both)])
+                trained = np.concatenate([c for _, c in both])
+                keys, back = np.unique(np.concatenate([x for x, _ in both]), return_inverse=True)
+                del both
+                counts = np.bincount(back, trained, minlength=len(keys)).astype(np.int64)
+                levels = Filter([segment(keys, counts, None, CUTOFF[kind])], CUTOFF[kind]).levels(keys).astype(np.uint8)
+                if not kind:
+                    yield _batch(_ANSWER, [bucket, 2, 0, b"", int(counts.sum()), int((counts > 0).sum())])
+                for i, sid in enumerate(sids):
+                    mine = back[done[i] : done[i + 1]]
+                    if kind:
+                        yield _batch(_ANSWER, [bucket, 1, sid, packed(levels[mine]), 0, 0])
+                        continue
+                    _, _, texts, r, tf, n = unpacked(g.column(3)[i].as_buffer(), *kinds)
+                    c = np.repeat(counts[mine], texts)
                     sums = np.bincount(r, tf * np.log10(c + 0.5), minlength=int(n[0]))
                     known = np.bincount(r, tf * (c > 0), minlength=int(n[0]))
-                    meta = [g.column(j)[i].as_py() for j in range(3, 7)]
-                    yield _answer(bucket, 0, g.column(2)[i].as_py(), meta, packed(sums, known), 0, 0)
+                    yield _batch(_ANSWER, [bucket, 0, sid, packed(levels[mine], sums, known), 0, 0])
 
-    sent = rows.mapInArrow(send, ", ".join(f"{k} {t}" for k, t in _SENT.items()))
-    answers = materialize(
-        sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(count, ", ".join(f"{k} {t}" for k, t in (_SENT | {"size": "long", "kinds": "long"}).items()))
-    )
-    total = answers.agg(F.sum("size").alias("N"), F.sum("kinds").alias("V")).first()
+    sent = sliced.mapInArrow(send, _schema(_SENT)).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    answers = materialize(sent.mapInArrow(count, _schema(_ANSWER)))
+    total = answers.agg(F.sum("all").alias("N"), F.sum("kinds").alias("V")).first()
     n_all, v_all = total["N"] or 0, total["V"] or 0
-
-    def filter_of(kind: int) -> Filter:  # MOST_BYTES / 2 at most
-        found = {r["bucket"]: bytes(r["blob"]) for r in answers.where(F.col("kind") == kind).select("bucket", "blob").toLocalIterator()}
-        return Filter([found.get(p, b"\0" * 8) for p in range(parts)], CUTOFF[kind - 2])
-
-    model = spark.sparkContext.broadcast((filter_of(2), filter_of(3)))
-    low = math.log10(n_all + 0.5 * (v_all + 1))
+    low = n_all + 0.5 * (v_all + 1)
+    value = [np.array([middle(j, c) for j in range(LEVELS + 1)]) for c in CUTOFF]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of each slice (its first row) from the answers of all ranges (by kind and range, so in the order of its hashes)."""
         for b, at in groups(batches, 1):
             for a, z in zip(at, at[1:]):
-                g, sums, known, meta = b.slice(int(a), int(z - a)), 0.0, 0.0, None
-                for i, blob in enumerate(g.column(2)):
-                    x, y = unpacked(blob.as_buffer(), "<f8", "<f8")
+                g = b.slice(int(a), int(z - a))
+                _, out, offsets, names, places = next(_slices([g.slice(0, 1).select(list(_SLICE))]))
+                sums, known, found = 0.0, 0.0, ([], [])
+                for kind, blob in zip(g.column(1).to_pylist()[1:], g.column(g.schema.get_field_index("blob"))[1:]):
+                    if kind:
+                        found[1].extend(unpacked(blob.as_buffer(), "<u1"))
+                        continue
+                    levels, x, y = unpacked(blob.as_buffer(), "<u1", "<f8", "<f8")
+                    found[0].append(levels)
                     sums, known = sums + x, known + y
-                    if g.column(3)[i].as_py() is not None:
-                        meta = [g.column(j)[i].as_py() for j in range(3, 7)]
-                n = np.array(meta[3], np.int64)
-                yield pa.record_batch(
-                    [pa.array(meta[0], pa.int64()), pa.array(meta[1], pa.int64()), pa.array(meta[2], pa.bool_()), pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(sums - n * low)],
-                    ["k", "h", "held_out", "n_tokens", "n_known", "base_score"],
-                )
-
-    base = (
-        answers.where("kind = 0")
-        .select("sid", "bucket", "blob", "k", "h", "o", "n")
-        .repartition("sid")
-        .sortWithinPartitions("sid", "bucket")
-        .mapInArrow(add, "k long, h long, held_out boolean, n_tokens long, n_known long, base_score double")
+                single = value[0][np.concatenate(found[0])]
+                uni = ((single + 0.5) / low)[places]
+                both, history = np.zeros(len(places)), np.ones(len(places))
+                _, back, inner = _pairs(names[places], offsets)
+                both[inner] = value[1][np.concatenate([np.zeros(0, np.uint8), *found[1]])][back]
+                history[1:] = single[places[:-1]]
+                follows = both / np.maximum(np.maximum(history, both), 1.0)
+                logs = np.log10(np.where(inner, BIGRAM * follows + (1 - BIGRAM) * uni, uni))
+                n = np.diff(offsets)
+                values = [g.column(g.schema.get_field_index("k"))[0].values, pa.array(out), pa.array(n), pa.array(np.rint(known).astype(np.int64))]
+                values += [pa.array(sums - n * math.log10(low)), pa.array(np.add.reduceat(logs, offsets[:-1]))]
+                yield pa.record_batch(values, ["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    slice_rows = sliced.select("sid", F.lit(-1).alias("kind"), F.lit(-1).alias("bucket"), *[c for c in _SLICE if c != "sid"])
+    together = slice_rows.unionByName(answers.where("kind < 2").select("sid", "kind", "bucket", "blob"), allowMissingColumns=True)
+    scored = (
+        together.repartition("sid")
+        .sortWithinPartitions("sid", "kind", "bucket")
+        .mapInArrow(add, "k long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     )
+    return scored.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos = model.value
-        for b in slices(batches, "t"):
-            key, offsets = tokens(b.column(2))
-            kinds, back = np.unique(key, return_inverse=True)
-            single = ones.counts(kinds)
-            uni = ((single + 0.5) / (n_all + 0.5 * (v_all + 1)))[back]
-            pair, inner = bigrams(key, offsets)
-            both, history = np.zeros(len(key)), np.ones(len(key))
-            both[inner] = twos.counts(pair[inner])
-            history[1:] = single[back[:-1]]
-            follows = both / np.maximum(np.maximum(history, both), 1.0)
-            logs = np.log10(np.where(inner, BIGRAM * follows + (1 - BIGRAM) * uni, uni))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.add.reduceat(logs, offsets[:-1]))], ["k", "h", "score"])
-
-    scored = rows.select("k", "h", "t").mapInArrow(probe, "k long, h long, score double")
-    # rows of one key and text have the same figures
-    once = base.groupBy("k", "h").agg(*[F.first(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base_score")])
-    return (
-        scored.withColumnRenamed("k", "k2").withColumnRenamed("h", "h2")
-        .join(once, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2")))
-        .select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
-    )
-
-
-_SENT = {"bucket": "int", "kind": "int", "sid": "long", "k": "array<long>", "h": "array<long>", "o": "array<boolean>", "n": "array<long>", "blob": "binary"}
-_KINDS = {
-    "bucket": pa.int32(), "kind": pa.int32(), "sid": pa.int64(), "k": pa.list_(pa.int64()), "h": pa.list_(pa.int64()),
-    "o": pa.list_(pa.bool_()), "n": pa.list_(pa.int64()), "blob": pa.binary(),
-}
-
-
-def _answer(bucket: int, kind: int, sid: int, meta: list, blob: bytes, size: int, kinds: int) -> pa.RecordBatch:
-    values = [bucket, kind, sid, *meta, blob, size, kinds]
-    types = [*_KINDS.values(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], [*_KINDS, "size", "kinds"])
+
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "binary": pa.binary()}
+_SLICE = {"sid": "long", "k": "array<long>", "o": "array<boolean>", "n": "array<long>", "size": "long", "blob": "binary"}
+_SENT = {"bucket": "int", "kind": "int", "sid": "long", "blob": "binary"}
+_ANSWER = _SENT | {"all": "long", "kinds": "long"}
+
+
+def _schema(kinds: dict[str, str]) -> str:
+    return ", ".join(f"`{k}` {t}" for k, t in kinds.items())
+
+
+def _batch(kinds: dict[str, str], values: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], _ARROW[t]) for v, t in zip(values, kinds.values())], list(kinds))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sid, flags, offsets, distinct tokens, places) of rows of _SLICE."""
+    for b in batches:
+        for i in range(b.num_rows):
+            names, places = unpacked(b.column(5)[i].as_buffer(), "<u1", "<u4")
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(b.column(3)[i].values), dtype=np.int64)])
+            out = b.column(2)[i].values.to_numpy(zero_copy_only=False).astype(bool)
+            yield b.column(0)[i].as_py(), out, offsets, keys_of(names), places.astype(np.int64)
+
+
+def _pairs(key: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams, rising, the place in them of each token that has one, and which tokens have one."""
+    pair, inner = bigrams(key, offsets)
+    return *np.unique(pair[inner], return_inverse=True), inner

@@ -343,6 +343,33 @@ def test_lm(docs, unique, nothing):
     assert lm.score(nothing.withColumn("out", F.lit(True)), "out").count() == 0
 
 
+def test_lm_filter_grows_with_the_corpus(unique, monkeypatch):
+    """Bigrams are told apart however many there are: no bound on the filters' bytes whatever the corpus."""
+    monkeypatch.setattr(lm, "MOST_BYTES", 128, raising=False)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 4096, raising=False)
+    found = {r.doc_id: r for r in lm.score(unique.withColumn("out", fold("doc_id", 5) == 1), "out").collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {r[0]: [*words((r[1] or "").translate(lower)), None] for r in ROWS}
+    learned = [ts for k, ts in tokens.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    ones, twos = Counter(t for ts in learned for t in ts), Counter(p for ts in learned for p in zip(ts, ts[1:]))
+    n, v = ones.total(), len(ones)
+
+    def read(count, cutoff):
+        return lm.middle(1 + math.floor(math.log(count / cutoff, lm.BASE) + 1e-9) if count >= cutoff else 0, cutoff)
+
+    off = 0.0
+    for k, ts in tokens.items():
+        want = 0.0
+        for i, t in enumerate(ts):
+            uni = (read(ones[t], lm.CUTOFF[0]) + 0.5) / (n + 0.5 * (v + 1))
+            if i:
+                both, history = read(twos[ts[i - 1], t], lm.CUTOFF[1]), read(ones[ts[i - 1]], lm.CUTOFF[0])
+                uni = lm.BIGRAM * both / max(history, both, 1.0) + (1 - lm.BIGRAM) * uni
+            want += math.log10(uni)
+        off += abs(found[k].score - want)
+    assert off < 0.05 * sum(map(len, tokens.values()))  # false hits of a filter with room: under 1 % of probes
+
+
 def test_filter_never_loses_a_count():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(1, 2**63, 4000).astype(np.uint64) * np.uint64(2))
