@@ -1,7 +1,7 @@
 """Quality rules from counts within a text and from lines that many documents of a host share. DataFrame functions only.
 
 A line is normalised (lower case, white space squeezed) and hashed. For every host the documents that hold
-the line are counted, copies once: documents count as different if their longest other lines begin differently. A line
+the line are counted, copies once: documents count as different if their normalised texts differ anywhere. A line
 above both limits is boilerplate and goes; a document that keeps too little of its text is depleted and goes too.
 """
 
@@ -15,7 +15,7 @@ from faultline.llm.common import fresh, materialize
 SPACES = " \t\n\x0b\f\r"
 #: A line is boilerplate in a host if more documents than both of these hold it: a number, and a share of the host's.
 LINE_DOCS, LINE_SHARE = 10, 0.005
-#: Characters of its longest other line that a document is told by.
+#: Characters of its longest other line that the check SQL tells a document by.
 SIGN = 24
 #: A document is depleted if less than this share of its lines' characters is left.
 LEAST_LEFT = 0.3
@@ -71,21 +71,11 @@ def base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def boilerplate(docs: DataFrame, host: str, text: str, line_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """(host, line): hashes of the lines above the limits; written, so that Spark knows its size."""
-    lines = F.array_distinct(F.filter(normalised(F.col(text)), lambda x: x != ""))
-    by_length = F.transform("_l", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
     seen = (
-        docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("_l"))
-        .withColumn("_sized", by_length)
-        .withColumn("_top", F.array_max("_sized")["x"])
-        .withColumn("_next", F.array_max(F.filter("_sized", lambda s: s["x"] != F.col("_top")))["x"])
-        .withColumn("_next", F.coalesce("_next", F.lit("")))
-    )
-    other = lambda x: F.when(x == F.col("_top"), F.col("_next")).otherwise(F.col("_top"))
-    seen = seen.select(
-        "host",
-        F.inline(
-            F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.substring(other(x), 1, SIGN)).alias("at")))
-        ),
+        docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), normalised(F.col(text)).alias("_l"))
+        # the row's own hash keeps copies, and nothing else, from counting twice
+        .select("host", F.xxhash64("_l").alias("at"), F.array_distinct(F.filter("_l", lambda x: x != "")).alias("_l"))
+        .select("host", "at", F.explode(F.transform("_l", lambda x: F.xxhash64(x))).alias("line"))
     )
     sizes = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("docs"))
     counts = seen.groupBy("host", "line", "at").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.sum("one").alias("n"))

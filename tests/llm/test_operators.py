@@ -106,6 +106,17 @@ def test_quality_cuts_boilerplate(spark):
     assert 200 not in clean and line not in clean[0] and clean[0] == rows[0][1].split("\n")[0]
 
 
+def test_quality_counts_documents_of_every_line(spark):
+    """Several boilerplate lines longer than the pages' own, and pages whose longest lines begin alike."""
+    shared = [f"shared notice {j} of this host, longer than any line that a page has of its own {'x' * j}" for j in range(3)]
+    rows = [(i, "\n".join([*shared, *(f"own {i} line {j} says {i * j}" for j in range(5))]), "en", "a", 1) for i in range(40)]
+    rows += [(100 + i, f"short notice\nthe same beginning of a longest line, then page {i} has more words of its own", "en", "b", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(found[i].n_lines_cut == 3 and not found[i].kept for i in range(40))
+    assert all(found[100 + i].n_lines_cut == 1 and found[100 + i].kept for i in range(40))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
