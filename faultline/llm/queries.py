@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import encoding, langid, lm, minhash, packing, quality, relative, suffix, toxicity, vectors
+from faultline.llm import audit, collocations, encoding, langid, lm, minhash, packing, quality, relative, suffix, tokencount, toxicity, vectors
 from faultline.llm import sql
 from faultline.llm.common import fold, table
 
@@ -64,6 +64,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -75,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_relative": op9_relative,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_token_counts": op12_token_counts,
+    "op13_audit": op13_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality": sql.QUALITY}
+ORACLE_SQL: dict[str, str] = {"op1_quality": sql.QUALITY, "op11_collocations": sql.COLLOCATIONS, "op13_audit": sql.AUDIT}

@@ -36,3 +36,51 @@ SELECT f.*, CAST(coalesce(cut.lines, 0) AS BIGINT) AS n_lines_cut,
   NOT base_failed AND total.chars - coalesce(cut.chars, 0) >= {quality.LEAST_LEFT} * total.chars AS kept
 FROM f JOIN total USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
+
+_NOT_SPACE = "list_filter(regexp_split_to_array(t, '" + _SPACE + "'), lambda x: x <> '')"
+
+AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_NOT_SPACE} AS ws FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT w.doc_id, part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+  + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+  + 16 * CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS INT) AS m FROM w),
+g AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM x a, x b, x c, x d, x e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+  FROM o, unnest(range(1, 6)) AS r(step)),
+r AS (SELECT part, filter_order, step, own,
+  sum(n) FILTER (m & (before | own) = 0) AS kept, sum(n) FILTER (m & before = 0 AND m & own > 0) AS removed,
+  sum(n) FILTER (m & before > 0 AND m & own > 0) AS redundant, sum(n) FILTER (m = own) AS unique_fails,
+  sum(good) FILTER (m & before = 0 AND m & own > 0) AS good_lost, sum(bad) FILTER (m & before = 0 AND m & own > 0) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+COLLOCATIONS = """
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(CAST(lang AS VARCHAR), 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT i, lang, unnest(regexp_split_to_array(t, '[.,;:!?\\n\\x0b\\f\\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, ws[j:j + m - 1] AS words FROM (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS j
+  FROM w, unnest(range(1, 5)) AS r(m))),
+f AS (SELECT lang, m, words, array_to_string(words, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, m, words HAVING count(*) >= 30),
+inner_of AS (SELECT lang, array_to_string(words[k:k + len - 1], ' ') AS phrase, max(f) AS longer
+  FROM f, unnest(range(1, 4)) AS a(k), unnest(range(2, 4)) AS b(len) WHERE len < m AND k + len - 1 <= m GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN inner_of USING (lang, phrase) WHERE m > 1 AND (longer IS NULL OR 100 * longer < 80 * f)),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+  FROM c, unnest(range(1, 4)) AS x(k), f AS l, f AS r WHERE k < c.m AND l.lang = c.lang AND r.lang = c.lang
+  AND l.phrase = array_to_string(c.words[1:k], ' ') AND r.phrase = array_to_string(c.words[k + 1:c.m], ' ')),
+b AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
