@@ -27,8 +27,6 @@ SHARDS = 4
 #: Bits of a bitmap for each frequent phrase, and of the largest bitmap (32 MB). Above some 30 million frequent phrases a bitmap
 #: fills up: then more phrases are counted, in proportion to the text at most, with the same results.
 BITS_EACH, MOST_BITS = 16, 28
-#: Bytes of text that a step counts at once.
-STEP = 8 << 20
 #: Parts that a language's candidates are ranked in before their best are ranked together.
 PARTS = 64
 
@@ -98,7 +96,7 @@ def mine(docs: DataFrame, level: int, shorter: np.ndarray | None) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", STEP):
+        for b in slices(batches, "t"):
             p = Phrases(b.column(1))
             cells = np.asarray(b.column(0)).view(np.uint64)
             at = p.places(level)
@@ -148,7 +146,7 @@ def counted(docs: DataFrame, chosen: np.ndarray, longest: int = LONGEST) -> Data
     known = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t", STEP):
+        for b in slices(batches, "t"):
             p = Phrases(b.column(2))
             w = p.words
             lang = b.column(0).dictionary_encode()
@@ -215,7 +213,7 @@ def collocations(
 
     Null text is empty, a null language is `und`. Repeated rows count each; the key only deals the rows into shards, null keys
     into one. Ties are broken by count, then by the phrase's bytes. Other columns are not read. An empty table gives no
-    rows. Words are told apart by 64-bit hashes within a step of 8 MB of text, phrases by their text.
+    rows. Words are told apart by 64-bit hashes within a step of 2 MB of text, phrases by their text.
     """
     lang_of, shard = F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(shards))
     rows = docs.select(
