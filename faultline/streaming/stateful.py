@@ -1,7 +1,8 @@
-"""Detectors with keyed state: anomalies and silence per service, as the stream goes by.
+"""Detectors with keyed state: anomalies, silence and traced cascades, as the stream goes by.
 
 State holds the event times of one span, in cells, and nothing older: cells are deleted once no
-later event can reach back to them. Cascades need the state of all services at once, which would
+later event can reach back to them. Cascades on a trace take two keyed stages, bursts by service and first
+errors by trace. Cascades by overlap in time need the state of all services at once, which would
 put the whole stream under one key; they run in `faultline.streaming.live` instead.
 """
 
@@ -212,6 +213,144 @@ class SilenceProcessor(StatefulProcessor):
         pass
 
 
+class OnsetProcessor(StatefulProcessor):
+    """Key: service. Errors wait until the watermark passes them, then get the onset of their burst, in order."""
+
+    def __init__(self, window_us: int):
+        self.window = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t array<bigint>, s array<bigint>, trace array<string>")
+        self.burst = handle.getValueState("burst", "last bigint, onset bigint")
+
+    def _wait(self, first: int | None) -> None:
+        """Wake up when the watermark reaches `first`; a timer fires once the watermark is greater than it."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000) - 1)
+        elif self.burst.exists():  # no later error can belong to the burst when the window is over
+            self.handle.registerTimer((self.burst.get()[0] + self.window) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _ordered(rows)
+        due = [list(h[0]) for h in self.held.get()]
+        self.held.appendValue((pdf["t"].tolist(), pdf["seq"].tolist(), pdf["trace"].tolist()))
+        self._wait(min([int(pdf["t"].iloc[0]), *(min(t) for t in due if t)]))
+        yield self._frame(key, [], [], [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.held.get())
+        if not held:
+            if self.burst.exists() and self.burst.get()[0] + self.window < upto:
+                self.burst.clear()
+            yield self._frame(key, [], [], [], [])
+            return
+        t, s = (np.concatenate([np.asarray(h[i], dtype=np.int64) for h in held]) for i in (0, 1))
+        trace = np.array([x for h in held for x in h[2]], dtype=object)
+        order = np.lexsort((s, t))
+        t, s, trace = t[order], s[order], trace[order]
+        n = int(np.searchsorted(t, upto, "right"))
+        self.held.clear()
+        if n < len(t):
+            self.held.appendValue((t[n:].tolist(), s[n:].tolist(), trace[n:].tolist()))
+        free, onset = t[:n], np.empty(0, dtype=np.int64)
+        if n:
+            last, began = self.burst.get() if self.burst.exists() else (None, None)
+            new = np.r_[last is None or free[0] - last > self.window, np.diff(free) > self.window]
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            onset = np.where(at < 0, 0 if began is None else began, free[at])
+            self.burst.update((int(free[-1]), int(onset[-1])))
+        self._wait(int(t[n]) if n < len(t) else None)
+        traced = np.array([x is not None for x in trace[:n]], dtype=bool)
+        yield self._frame(key, free[traced], s[:n][traced], onset[traced], trace[:n][traced].tolist())
+
+    def _frame(self, key, t, s, onset, trace) -> pd.DataFrame:
+        t = np.asarray(t, dtype=np.int64)
+        return pd.DataFrame(
+            {
+                "service": _repeat(key[0], len(t)),
+                "trace": pd.Series(trace, dtype=object),
+                "t": t,
+                "s": np.asarray(s, dtype=np.int64),
+                "onset": np.asarray(onset, dtype=np.int64),
+                "ts": pd.Series(pd.to_datetime(t, unit="us", utc=True)),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class TraceProcessor(StatefulProcessor):
+    """Key: trace. State: the first error of the two services that erred first; errors come in order from batch to batch."""
+
+    def __init__(self, window_us: int, keep_us: int):
+        self.window, self.keep = window_us, keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getMapState("first", "service string", "t bigint, s bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "s"], ignore_index=True)
+        heads = {k[0]: (int(v[0]), int(v[1])) for k, v in self.first.iterator()}
+        if len(heads) < 2:
+            for service, t, s in pdf.drop_duplicates("service")[["service", "t", "s"]].itertuples(index=False):
+                if len(heads) < 2 and service not in heads:
+                    heads[service] = (int(t), int(s))
+                    self.first.updateValue((service,), heads[service])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((int(pdf["t"].iloc[-1]) + self.keep) // 1000 + 1)
+        order = sorted(heads, key=heads.get)
+        t, s, onset = (pdf[c].to_numpy(dtype=np.int64) for c in ("t", "s", "onset"))
+        # A service's origin is the first of the two, or the second if it is the first itself.
+        own = (pdf["service"] == order[0]).to_numpy()
+        second = heads[order[1]] if len(order) > 1 else None
+        head = [np.where(own, second[i] if second else 0, heads[order[0]][i]) for i in (0, 1)]
+        hit = ~own if second is None else np.ones(len(t), dtype=bool)
+        hit &= (head[0] < t) | ((head[0] == t) & (head[1] < s))
+        hit &= (onset >= head[0]) & (onset - head[0] <= self.window)
+        yield pd.DataFrame(
+            {
+                "service": pdf["service"][hit].astype(object),
+                "t": t[hit],
+                "s": s[hit],
+                "cascade_from": pd.Series(np.where(own[hit], order[-1], order[0]), dtype=object).to_numpy(),
+                "ts": pd.to_datetime(t[hit], unit="us", utc=True),
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.first.clear()
+        yield pd.DataFrame({"service": _repeat("", 0), "t": np.empty(0, np.int64), "s": np.empty(0, np.int64), "cascade_from": _repeat("", 0), "ts": pd.to_datetime([], utc=True)})
+
+    def close(self) -> None:
+        pass
+
+
+class PairProcessor(StatefulProcessor):
+    """Key: origin and service. The first error of the pair is new."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "s"], ignore_index=True)
+        new = np.zeros(len(pdf), dtype=bool)
+        new[0] = not self.seen.exists()
+        self.seen.update((True,))
+        yield pd.DataFrame(
+            {"service": _repeat(key[1], len(pdf)), "t": pdf["t"], "s": pdf["s"], "cascade_from": _repeat(key[0], len(pdf)), "new_cascade": new}
+        )
+
+    def close(self) -> None:
+        pass
+
+
 def _keyed(df: DataFrame, seq: str) -> DataFrame:
     return df.select(
         F.coalesce("service", F.lit("")).alias("service"),
@@ -273,3 +412,44 @@ def stream_silence(
             timeMode="EventTime",
         )
     )
+
+
+def stream_cascades(
+    events: DataFrame, window_ms: int = 5000, seq: str = "seq", keep_ms: int = 3_600_000
+) -> DataFrame:
+    """Cascades on traces of a watermarked stream: service, t, s, cascade_from, new_cascade.
+
+    Errors wait by service until the watermark passes them, so lateness within it changes nothing, and get the onset
+    of their burst; then they meet by trace, and pairs are told as new once. A burst is forgotten when its window is over, a trace
+    `keep_ms` after its last error; an error that comes later on that trace begins it anew. Pairs stay.
+    """
+    # Written so that the filter needs `ts` as a whole: else it is applied before the watermark, which only errors would move then.
+    wanted = F.when(is_error() & present("service").isNotNull(), F.lit(0))
+    errors = events.select(
+        "service",
+        "ts",
+        (F.unix_micros("ts") + wanted).alias("t"),
+        F.col(seq).cast("bigint").alias("seq"),
+        present("trace_id").alias("trace"),
+    ).where(F.col("t").isNotNull())
+    window = window_ms * 1000
+    placed = errors.groupBy("service").transformWithStateInPandas(
+        OnsetProcessor(window),
+        "service string, trace string, t bigint, s bigint, onset bigint, ts timestamp",
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="ts",
+    )
+    found = placed.groupBy("trace").transformWithStateInPandas(
+        TraceProcessor(window, keep_ms * 1000),
+        "service string, t bigint, s bigint, cascade_from string, ts timestamp",
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="ts",
+    )
+    return found.groupBy("cascade_from", "service").transformWithStateInPandas(
+        PairProcessor(),
+        "service string, t bigint, s bigint, cascade_from string, new_cascade boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
