@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Tables written since the innermost `scratch` began; None outside.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `materialize` writes inside, at the end; for work that repeats for ever."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _written.get():
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _written.reset(token)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
@@ -51,6 +71,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,4 +80,5 @@ def materialize(df: DataFrame) -> DataFrame:
 def side_by_side(spark: SparkSession, *builds: Callable[[], DataFrame]) -> list[DataFrame]:
     """Build independent tables at the same time, so their jobs can share the cluster."""
     with ThreadPoolExecutor(len(builds)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(b)) for b in builds]]
+        runs = [pool.submit(copy_context().run, inheritable_thread_target(spark)(b)) for b in builds]
+        return [r.result() for r in runs]

@@ -44,9 +44,13 @@ def to_result_json(df: DataFrame) -> DataFrame:
     return flat.select(F.to_json(F.struct(*flat.columns)).alias("value"))
 
 
-def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write results as JSON lines, in (ts, seq) order within each file."""
-    to_result_json(df).write.mode(mode).text(path)
+def write_results(df: DataFrame, path: str, mode: str = "errorifexists", seq: str = "seq") -> None:
+    """Write results as JSON lines in (ts, seq) order, in each file and from file to file by name.
+
+    The rows are dealt by ranges of the order and sorted there; on equal places rows follow source and service.
+    """
+    ties = [c for c in (seq, "source", "service") if c in df.columns]
+    to_result_json(df.orderBy("ts", *ties)).write.mode(mode).text(path)
 
 
 def save_session(events: DataFrame, path: str, mode: str = "append") -> None:
