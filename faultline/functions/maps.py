@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -36,12 +37,19 @@ def without_keys(m: Column, keys: Sequence[str]) -> Column:
     return F.map_filter(m, lambda k, _: ~k.isin(*keys))
 
 
+def guard_name() -> str:
+    """A member name that no input can hold but by chance."""
+    return f"g{uuid.uuid4().hex}"
+
+
 def json_map(text: Column) -> Column:
     """A JSON object as map<string,string>, NULL if it is none; nested values stay JSON text.
 
     The object must be the whole text. It is parsed as the first of a list of two, since a parser stops at the end of a
-    value: any text that follows the object breaks the list or makes it longer.
+    value: any text that follows the object breaks the list or hides its second value, whose name is chosen anew each time.
     """
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    both = F.from_json(F.concat(F.lit("["), text, F.lit(",{}]")), "array<map<string,string>>", strict)
-    return F.when(F.startswith(text, F.lit("{")) & (F.size(both) == 2), F.get(both, F.lit(0)))
+    guard = guard_name()
+    both = F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{guard}":"1"}}]')), "array<map<string,string>>", strict)
+    whole = (F.size(both) == 2) & F.coalesce(F.try_element_at(F.get(both, F.lit(1)), F.lit(guard)) == "1", F.lit(False))
+    return F.when(F.startswith(text, F.lit("{")) & whole, F.get(both, F.lit(0)))

@@ -134,11 +134,9 @@ def normalize_gcl(spark, sf_dir):
 @query("error_events")
 def error_events(spark, sf_dir):
     df = landed.damaged_payloads(spark, sf_dir)
-    read = payloads.normalize_datadog(df, "dd")
-    failed = payloads.failed_records_as_events(df, "datadog", "dd", F.col("ingest_ts"))
+    read = payloads.normalize_datadog(df, "dd", F.col("ingest_ts"), failures=True)
     return (
-        align.union_sources(read, failed)
-        .groupBy("service", "severity")
+        read.groupBy("service", "severity")
         .agg(F.count("*").alias("events"), F.max(_us()).alias("last_us"))
         .withColumn("severity", F.col("severity").cast("bigint"))
     )
@@ -155,7 +153,7 @@ def damaged_responses(spark, sf_dir):
         ("googlecloud", payloads.normalize_gcl),
     ):
         df = landed.responses(spark, sf_dir, kind)
-        parts += [read(df, kind, F.col("ingest_ts")), payloads.failed_records_as_events(df, kind, kind, F.col("ingest_ts"))]
+        parts.append(read(df, kind, F.col("ingest_ts"), failures=True))
     return (
         align.union_sources(*parts)
         .groupBy("source", F.coalesce(F.col("service") == F.col("source"), F.lit(False)).alias("failed"))

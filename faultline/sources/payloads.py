@@ -1,7 +1,8 @@
 """Export payloads of log stores, one JSON text per row, to events.
 
 Each normaliser takes landed API responses (column `payload` by default) and returns the event
-schema. A response is split into its records on the cluster; nothing is fetched here.
+schema. A response is split into its records on the cluster; nothing is fetched here. With `failures`, what can't be
+read is an ERROR event among the others, from the same pass; else it is left out, and `failed_records_as_events` gives it alone.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from faultline.functions.maps import first_present, json_map, without_keys
+from faultline.functions.maps import first_present, guard_name, json_map, without_keys
 from faultline.functions.severity import (
     parse_severity,
     parse_severity_datadog,
@@ -64,21 +65,22 @@ def read_records(df: DataFrame, kind: str, column: str = "payload") -> DataFrame
     every record of a response gives one row.
     """
     path, fields = RECORDS[kind]
+    guard = guard_name()
 
     def response(records: str) -> str:
         for name in reversed(path):
             records = f"struct<{name} {records}>"
-        return f"struct<r {records}, end boolean, {_CORRUPT} string>"
+        return f"struct<r {records}, {guard} boolean, {_CORRUPT} string>"
 
     def member(parsed: str) -> Column:
         return F.col(".".join((parsed, "r", *path)))
 
     def sound(parsed: str) -> Column:
-        ended = F.coalesce(F.col(f"{parsed}.end"), F.lit(False))
+        ended = F.coalesce(F.col(f"{parsed}.{guard}"), F.lit(False))
         return ended & F.col(f"{parsed}.{_CORRUPT}").isNull() & F.col(f"{parsed}.r").isNotNull()
 
-    # what is put after the payload is only read if nothing else follows its value
-    whole = F.concat(F.lit('{"r":'), F.col(column), F.lit(',"end":true}'))
+    # what is put after the payload is only read if nothing else follows its value; no payload can name it
+    whole = F.concat(F.lit('{"r":'), F.col(column), F.lit(f',"{guard}":true}}'))
     schema = StructType.fromDDL(fields)
     names = schema.fieldNames()
     # members whose shape is checked by hand: the parser makes some of them NULL without a word
@@ -120,8 +122,31 @@ def read_records(df: DataFrame, kind: str, column: str = "payload") -> DataFrame
     )
 
 
-def _good_records(df: DataFrame, kind: str, column: str) -> DataFrame:
-    return read_records(df, kind, column).where(F.col("failed_text").isNull())
+def _records(df: DataFrame, kind: str, column: str, failures: bool) -> DataFrame:
+    records = read_records(df, kind, column)
+    return records if failures else records.where(F.col("failed_text").isNull())
+
+
+def _failure(kind: str, source: Column, ingest_ts: Column) -> dict[str, Column]:
+    """The event parts of a record or response that can't be read."""
+    return {
+        "ts": ingest_ts.cast("timestamp"),
+        "service": source,
+        "severity": F.lit(ERROR),
+        "message": F.concat(F.lit(FAILURE_PREFIX.get(kind, OTHER_PREFIX)), F.col("failed_text")),
+        "trace_id": F.lit(None).cast("string"),
+        "fields": F.create_map().cast(_EMPTY),
+    }
+
+
+def _finish(df: DataFrame, kind: str, source: str | None, ingest_ts: Column | None, keep: tuple, failures: bool) -> DataFrame:
+    """`finish`, with rows of a failed_text turned into their errors where these are wanted."""
+    if failures:
+        now = F.current_timestamp() if ingest_ts is None else ingest_ts
+        name = F.lit(source) if source is not None else F.col("source")
+        failed = F.col("failed_text").isNotNull()
+        df = df.withColumns({c: F.when(failed, v).otherwise(F.col(c)) for c, v in _failure(kind, name, now).items()})
+    return finish(df, source, ingest_ts, keep)
 
 
 def _line_parts(df: DataFrame, line: str) -> DataFrame:
@@ -143,17 +168,21 @@ def normalize_loki(
     ingest_ts: Column | None = None,
     keep: tuple = (),
     column: str = "payload",
+    failures: bool = False,
 ) -> DataFrame:
     """Query-range responses: every value of every stream; a value without a numeric time is left out.
 
     `ts_ns` keeps the nanoseconds for ordering.
     """
     out = (
-        _good_records(df, "loki", column)
+        _records(df, "loki", column, failures)
         .withColumn("stream", F.col("record"))
-        .withColumn("entry", F.explode("stream.values"))
+        .withColumn(
+            "entry",
+            F.explode(F.when(F.col("failed_text").isNotNull(), F.array(F.array().cast("array<string>"))).otherwise(F.col("stream.values"))),
+        )
         .withColumn("ts_ns", F.get("entry", F.lit(0)).try_cast("bigint"))
-        .where(F.col("ts_ns").isNotNull())
+        .where(F.col("ts_ns").isNotNull() | F.col("failed_text").isNotNull())
         .withColumns(
             {
                 "ts": F.timestamp_micros(cell_of(F.col("ts_ns"), 1000)),
@@ -171,7 +200,7 @@ def normalize_loki(
             }
         )
     )
-    return finish(_line_parts(out, "entry_line"), source, ingest_ts, ("ts_ns", *keep))
+    return _finish(_line_parts(out, "entry_line"), "loki", source, ingest_ts, ("ts_ns", *keep), failures)
 
 
 def normalize_es(
@@ -180,6 +209,7 @@ def normalize_es(
     ingest_ts: Column | None = None,
     keep: tuple = (),
     column: str = "payload",
+    failures: bool = False,
 ) -> DataFrame:
     """Search responses: every hit's flat document. Names with a dot are keys as they stand."""
     doc = F.col("doc")
@@ -187,7 +217,7 @@ def normalize_es(
         DOC_TIME_KEYS + DOC_SEVERITY_KEYS + DOC_MESSAGE_KEYS + DOC_SERVICE_KEYS + DOC_TRACE_KEYS
     )
     out = (
-        _good_records(df, "elasticsearch", column)
+        _records(df, "elasticsearch", column, failures)
         .withColumn("doc", F.coalesce("record._source", F.create_map().cast(_EMPTY)))
         .withColumns(
             {
@@ -202,7 +232,7 @@ def normalize_es(
             }
         )
     )
-    return finish(out, source, ingest_ts, keep)
+    return _finish(out, "elasticsearch", source, ingest_ts, keep, failures)
 
 
 def normalize_cloudwatch(
@@ -234,10 +264,11 @@ def normalize_datadog(
     ingest_ts: Column | None = None,
     keep: tuple = (),
     column: str = "payload",
+    failures: bool = False,
 ) -> DataFrame:
     """Search responses: every entry of `data`. Attributes give the trace and are not copied."""
     out = (
-        _good_records(df, "datadog", column)
+        _records(df, "datadog", column, failures)
         .withColumn("a", F.col("record.attributes"))
         .withColumns(
             {
@@ -250,7 +281,7 @@ def normalize_datadog(
             }
         )
     )
-    return finish(out, source, ingest_ts, keep)
+    return _finish(out, "datadog", source, ingest_ts, keep, failures)
 
 
 def normalize_gcl(
@@ -259,6 +290,7 @@ def normalize_gcl(
     ingest_ts: Column | None = None,
     keep: tuple = (),
     column: str = "payload",
+    failures: bool = False,
 ) -> DataFrame:
     """Entry lists: text or JSON payload; the service from labels, else from the log name."""
     body, text = F.col("e.jsonPayload"), present("e.textPayload")
@@ -271,7 +303,7 @@ def normalize_gcl(
     )
     resource = F.col("e.resource.labels")
     out = (
-        _good_records(df, "googlecloud", column)
+        _records(df, "googlecloud", column, failures)
         .withColumn("e", F.col("record"))
         .withColumns(
             {
@@ -291,7 +323,7 @@ def normalize_gcl(
             }
         )
     )
-    return finish(out, source, ingest_ts, keep)
+    return _finish(out, "googlecloud", source, ingest_ts, keep, failures)
 
 
 def failed_records_as_events(
@@ -309,19 +341,9 @@ def failed_records_as_events(
         broken = df.withColumn("failed_text", F.coalesce(F.col(column), F.lit("no payload")))
         broken = broken.where(F.try_parse_json(F.col(column)).isNull())
         group = F.coalesce("log_group", F.lit("")) if "log_group" in df.columns else F.lit("")
-        prefix = F.concat(F.lit(FAILURE_PREFIX[kind]), group, F.lit("): "))
+        message = F.concat(F.lit(FAILURE_PREFIX[kind]), group, F.lit("): "), F.col("failed_text"))
+        parts = _failure(kind, source, ingest_ts) | {"message": message}
     else:
         broken = read_records(df, kind, column).where(F.col("failed_text").isNotNull())
-        prefix = F.lit(FAILURE_PREFIX.get(kind, OTHER_PREFIX))
-    out = broken.withColumns(
-        {
-            "ts": ingest_ts.cast("timestamp"),
-            "source": source,
-            "service": source,
-            "severity": F.lit(ERROR),
-            "message": F.concat(prefix, F.col("failed_text")),
-            "trace_id": F.lit(None).cast("string"),
-            "fields": F.create_map().cast(_EMPTY),
-        }
-    )
-    return finish(out, None, ingest_ts, keep)
+        parts = _failure(kind, source, ingest_ts)
+    return finish(broken.withColumns(parts | {"source": source}), None, ingest_ts, keep)

@@ -363,3 +363,19 @@ def test_stream_of_lines_skips_old_files(spark, tmp_path):
 
     assert read("all_lines") == [("m", 5), ("plain", 0)]
     assert read("new_lines", skip_existing_before=datetime(2100, 1, 1)) == []
+
+
+def test_text_after_an_object_is_never_lost(spark):
+    """Text that holds what the parser's own guard might be is still text after the object."""
+    given = ['{"message":"x"},{}] lost tail', '{"message":"x"},{"g":"1"}]', '{"message":"x"} ]', '{"message":"whole"}']
+    got = lines.normalize_lines(spark.createDataFrame([(x,) for x in given], "value string"), "app").select("message").collect()
+    assert sorted(r.message for r in got) == sorted([*given[:3], "whole"])
+    tail = '{"data":[]},"end":true} {"data":[{"attributes":{"message":"lost"}}]}'
+    df = spark.createDataFrame([(tail,), ('{"data":[{"attributes":{"message":"m"}}, 5]}',)], "payload string")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    both = payloads.normalize_datadog(df, "dd", now, failures=True).select("message", "severity", "service").collect()
+    assert sorted(map(tuple, both)) == sorted(
+        [("adapter error: " + tail, 5, "dd"), ("adapter error: 5", 5, "dd"), ("m", 3, None)]
+    )
+    apart = payloads.normalize_datadog(df, "dd", now).unionByName(payloads.failed_records_as_events(df, "datadog", "dd", now))
+    assert sorted(map(tuple, apart.select("message", "severity", "service").collect())) == sorted(map(tuple, both))
