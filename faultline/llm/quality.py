@@ -15,8 +15,6 @@ from faultline.llm.common import fresh, materialize
 SPACES = " \t\n\x0b\f\r"
 #: A line is boilerplate in a host if more documents than both of these hold it: a number, and a share of the host's.
 LINE_DOCS, LINE_SHARE = 10, 0.005
-#: Characters of its longest other line that the check SQL tells a document by.
-SIGN = 24
 #: A document is depleted if less than this share of its lines' characters is left.
 LEAST_LEFT = 0.3
 FEWEST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 10, 5, 20

@@ -16,12 +16,9 @@ l AS (SELECT doc_id, host, i, line, regexp_matches(line, '[^ \\t\\n\\x0b\\f\\r]'
   trim(lower(regexp_replace(line, '[ \\t\\x0b\\f\\r]+', ' ', 'g'))) AS norm FROM raw),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE worded GROUP BY doc_id),
 c AS (SELECT doc_id, host, norm FROM l),
-u AS (SELECT DISTINCT doc_id, host, norm, length(norm) AS n FROM c WHERE norm <> ''),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, norm DESC) AS r FROM u),
-o AS (SELECT u.host, u.norm, substr(coalesce(CASE WHEN u.norm = one.norm THEN two.norm ELSE one.norm END, ''), 1, {quality.SIGN}) AS a
-  FROM u JOIN r AS one ON one.doc_id = u.doc_id AND one.r = 1 LEFT JOIN r AS two ON two.doc_id = u.doc_id AND two.r = 2),
+whole AS (SELECT doc_id, string_agg(norm, chr(10) ORDER BY i) AS a FROM l GROUP BY doc_id),
 sizes AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-counted AS (SELECT host, norm, count(*) AS n FROM (SELECT DISTINCT host, norm, a FROM o) GROUP BY host, norm),
+counted AS (SELECT host, norm, count(*) AS n FROM (SELECT DISTINCT host, norm, a FROM c JOIN whole USING (doc_id) WHERE norm <> '') GROUP BY host, norm),
 boiler AS (SELECT host, norm FROM counted JOIN sizes USING (host) WHERE n > {quality.LINE_DOCS} AND n > {quality.LINE_SHARE} * docs),
 cut AS (SELECT doc_id, count(*) AS lines, sum(length(norm)) AS chars FROM c JOIN boiler USING (host, norm) GROUP BY doc_id),
 total AS (SELECT doc_id, sum(length(norm)) AS chars FROM c GROUP BY doc_id),
