@@ -324,13 +324,17 @@ def cascade_origins(
     window_ms: int = 5000,
     seq: str = "seq",
     errors: DataFrame | None = None,
+    by: str = "both",
 ) -> DataFrame:
     """Errors that follow another service's errors: service, t, s, cascade_from, by_trace.
 
     A trace decides by itself: the earliest other service on it is taken before the window is
     tested, and an error with a trace never falls back to burst overlap. `errors` takes the
-    `error_table` of the events if it is already at hand.
+    `error_table` of the events if it is already at hand. With `by` as "trace" or "overlap" only these are found, and
+    what the others need is not built.
     """
+    if by not in ("both", "trace", "overlap"):
+        raise ValueError("by must be 'both', 'trace' or 'overlap'")
     window_us = window_ms * 1000
     narrow = _narrow(events, seq)
     cells, errors = side_by_side(
@@ -358,7 +362,10 @@ def cascade_origins(
         .join(onsets, in_cell)
         .where((F.col("onset") - F.col("head.first_error.t")).between(0, window_us))
         .select("service", "t", "s", F.col("head.service").alias("cascade_from"))
+        .withColumn("by_trace", F.lit(True))
     )
+    if by == "trace":
+        return traced
 
     bursts = _bursts(narrow, cells, window_us)
     origins = burst_origins(bursts, window_ms)
@@ -390,10 +397,9 @@ def cascade_origins(
             F.exists("candidates", lambda c: (c["onset"] < here) & (c["closed"] > here))
         )
         .select("service", "t", "s", chosen["origin"].alias("cascade_from"))
+        .withColumn("by_trace", F.lit(False))
     )
-    return traced.withColumn("by_trace", F.lit(True)).unionByName(
-        untraced.withColumn("by_trace", F.lit(False))
-    )
+    return untraced if by == "overlap" else traced.unionByName(untraced)
 
 
 def first_edges(origins: DataFrame) -> DataFrame:

@@ -20,9 +20,6 @@ from faultline.session import materialize
 # Fixed value: events needed in the older half before a drop is judged.
 MIN_IN_BASELINE = 5
 
-# Most cells the log is cut into to find the next check; a table of this size is safe to broadcast.
-CHECK_CELLS = 50_000
-
 # Order at one instant: counts expire, then events arrive, then a tick looks.
 _EXPIRY, _ARRIVAL, _TICK = 0, 1, 2
 
@@ -190,28 +187,25 @@ def _quiet_stretches(
     )
 
 
-def next_check(asked: DataFrame, checks: DataFrame, first_t: int, last_t: int) -> DataFrame:
+def next_check(asked: DataFrame, checks: DataFrame, width: int) -> DataFrame:
     """(look_from, found): the first check at or after each distinct `look_from`, in µs.
 
-    `checks` has t and s, with t from `first_t` to `last_t`; `found` is struct (at, kind, s). A
-    forward as-of join as one backward sweep, over the checks of the asked cells and the first
-    checks of the next cell that has any. The log is cut into at most CHECK_CELLS cells.
+    `checks` has t and s; `found` is struct (at, kind, s). A forward as-of join in two sweeps, each in slices that carry the
+    first check of the slices after them: one over time cells of `width`, of which there is one row for each with a check or a
+    look, and one over the checks that can be found at all, those of the asked cells and the first of the next cell that has any.
     """
-    width = max(1, -(-(last_t - first_t + 1) // CHECK_CELLS))
     points = asked.select("look_from").distinct()
     placed = checks.select("t", "s", cell_of(F.col("t"), width).alias("cell"))
-    cells = placed.groupBy("cell").agg(F.min("t").alias("first")).unionByName(
-        points.select(
-            cell_of(F.col("look_from"), width).alias("cell"), F.lit(None).cast("bigint").alias("first")
-        )
+    asks = points.select(cell_of(F.col("look_from"), width).alias("cell")).distinct()
+    # A cell that asks stands between its own checks and those of later cells, which it looks for.
+    cells = (
+        placed.groupBy("cell").agg(F.min("t").alias("first")).select((F.col("cell") * 2).alias("pos"), "first")
+    ).unionByName(asks.select((F.col("cell") * 2 + 1).alias("pos"), F.lit(None).cast("bigint").alias("first")))
+    swept_cells = running(cells, [], ["pos"], {"later": Run("min", "first")}, descending=True)
+    nearest = swept_cells.where(F.col("pos") % 2 != 0).select(
+        cell_of(F.col("pos"), 2).alias("cell"), "later"
     )
-    # At most CHECK_CELLS rows here, so one task can order them.
-    per_cell = cells.groupBy("cell").agg(
-        F.min("first").alias("first"), F.bool_or(F.col("first").isNull()).alias("asks")
-    )
-    filled = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    nearest = per_cell.withColumn("later", F.min("first").over(filled)).where("asks")
-    wanted = (
+    wanted = materialize(
         nearest.select("cell", F.lit(None).cast("bigint").alias("only_t"))
         .unionByName(
             nearest.where(F.col("later").isNotNull()).select(
@@ -222,7 +216,7 @@ def next_check(asked: DataFrame, checks: DataFrame, first_t: int, last_t: int) -
         .agg(F.min("only_t").alias("only_t"), F.bool_or(F.col("only_t").isNull()).alias("whole"))
     )
     near = placed.join(
-        F.broadcast(wanted),
+        wanted,
         (F.col("cell") == F.col("w_cell")) & (F.col("whole") | (F.col("t") == F.col("only_t"))),
     )
     marks = near.select(
@@ -291,7 +285,7 @@ def detect_silence(
         stretches = materialize(stretches)
         at_once = (F.col("from.kind") == _ARRIVAL) & (F.col("from.at") >= active_from)
         later = stretches.where(~at_once)
-        found = next_check(later, all_rows.select("t", "s"), start, end)
+        found = next_check(later, all_rows.select("t", "s"), width)
         seen = stretches.where(at_once).withColumn("found", F.col("from")).unionByName(
             later.join(found, "look_from").select(*stretches.columns, "found")
         )

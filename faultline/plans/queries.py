@@ -312,10 +312,8 @@ def trace_first_error(spark, sf_dir):
 
 
 def _origins(spark, sf_dir, by_trace: bool) -> DataFrame:
-    out = cascade.cascade_origins(log_events(spark, sf_dir), WINDOW_MS)
-    return out.where(F.col("by_trace") == by_trace).select(
-        F.col("s").alias("event_id"), "service", "cascade_from"
-    )
+    out = cascade.cascade_origins(log_events(spark, sf_dir), WINDOW_MS, by="trace" if by_trace else "overlap")
+    return out.select(F.col("s").alias("event_id"), "service", "cascade_from")
 
 
 @query("cascade_trace")

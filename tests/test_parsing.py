@@ -119,7 +119,7 @@ def test_text_lines(spark):
     got = events_of(
         spark,
         [
-            "2024-01-15T14:22:03Z [ERROR] connection pool exhausted",
+            "2024-01-15T14:22:03Z [ERROR] 3 of 40 shards lost",
             "2024-01-15 14:22:03 <warn>  slow   query",
             "WARN no time here",
             "just words, a b ERROR",
@@ -128,7 +128,7 @@ def test_text_lines(spark):
         ],
     )
     assert [(r.severity, r.message) for r in got] == [
-        (5, "connection pool exhausted"),
+        (5, "3 of 40 shards lost"),
         (4, "slow query"),
         (4, "no time here"),
         (0, "just words, a b ERROR"),
@@ -209,16 +209,16 @@ def test_google(spark):
         return {"timestamp": "2024-01-15T14:22:03Z", **e}
 
     entries = [
-        entry(textPayload="1", labels={"service": "lab"}, trace="projects/p/traces/def456"),
-        entry(jsonPayload={"msg": "2", "trace_id": "own"}, trace="projects/p/traces/def456",
+        entry(textPayload="1", labels={"service": "lab"}, trace="projects/blue-77/traces/9c41e0"),
+        entry(jsonPayload={"msg": "2", "trace_id": "own"}, trace="projects/blue-77/traces/9c41e0",
               resource={"labels": {"container_name": "", "service_name": "sn"}}),
-        entry(textPayload="3", logName="projects/p/logs/requests%2Fhttp", severity="warning"),
+        entry(textPayload="3", logName="projects/blue-77/logs/edge%2Fgrpc", severity="warning"),
         entry(textPayload="4", logName="none", trace="noslash"),
     ]
     df = one_column(spark, [json.dumps({"entries": entries})], "payload")
     got = payloads.normalize_gcl(df, "gcl").orderBy("message").collect()
-    assert [r.service for r in got] == ["lab", "sn", "requests/http", None]
-    assert [r.trace_id for r in got] == ["def456", "own", None, None]
+    assert [r.service for r in got] == ["lab", "sn", "edge/grpc", None]
+    assert [r.trace_id for r in got] == ["9c41e0", "own", None, None]
     assert got[2].severity == 4
 
 
