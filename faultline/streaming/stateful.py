@@ -13,7 +13,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -61,7 +61,11 @@ class _SpanState:
 
 
 def _ordered(rows) -> pd.DataFrame:
+    """The rows of a key in order; rows that hold lists of times (see HoldProcessor) are taken apart."""
     pdf = pd.concat(list(rows), ignore_index=True)
+    if "times" in pdf.columns:
+        t, s = (np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf[c]]) for c in ("times", "numbers"))
+        pdf = pd.DataFrame({"t": t, "seq": s})
     return pdf.sort_values(["t", "seq"], ignore_index=True)
 
 
@@ -213,6 +217,57 @@ class SilenceProcessor(StatefulProcessor):
         pass
 
 
+class HoldProcessor(StatefulProcessor):
+    """Key: service, slice of time. Events wait until the watermark passes them, then leave as one row of sorted lists.
+
+    A service of any size is spread over as many keys as a batch has slices; the service's own key then gets two numbers an
+    event, in a row for each slice.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t array<bigint>, s array<bigint>")
+
+    def _wait(self, first: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-first // 1000) - 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True)
+        first = min([int(pdf["t"].min()), *(min(h[0]) for h in self.held.get())])
+        self.held.appendValue((pdf["t"].tolist(), pdf["seq"].tolist()))
+        self._wait(first)
+        yield self._frame(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.held.get())
+        t, s = (np.concatenate([np.asarray(h[i], dtype=np.int64) for h in held]) for i in (0, 1))
+        order = np.lexsort((s, t))
+        t, s = t[order], s[order]
+        n = int(np.searchsorted(t, upto, "right"))
+        self.held.clear()
+        if n < len(t):
+            self.held.appendValue((t[n:].tolist(), s[n:].tolist()))
+            self._wait(int(t[n]))
+        yield self._frame(key, t[:n], s[:n])
+
+    def _frame(self, key, t, s) -> pd.DataFrame:
+        n = int(len(t) > 0)
+        return pd.DataFrame(
+            {
+                "service": _repeat(key[0], n),
+                "times": pd.Series([list(map(int, t))] * n, dtype=object),
+                "numbers": pd.Series([list(map(int, s))] * n, dtype=object),
+                "ts": pd.to_datetime(np.asarray(t, dtype=np.int64)[-1:], unit="us", utc=True),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
 class OnsetProcessor(StatefulProcessor):
     """Key: service. Errors wait until the watermark passes them, then get the onset of their burst, in order."""
 
@@ -351,12 +406,27 @@ class PairProcessor(StatefulProcessor):
         pass
 
 
-def _keyed(df: DataFrame, seq: str) -> DataFrame:
-    return df.select(
+def _keyed(df: DataFrame, seq: str, wanted: Column, spread_ms: int | None) -> DataFrame:
+    """(service, ts, t, seq) of the wanted events; with `spread_ms`, in lists that waited by service and slice.
+
+    The filter needs `ts` as a whole: else it would be applied before the watermark, which only wanted events would move then.
+    """
+    keyed = df.select(
         F.coalesce("service", F.lit("")).alias("service"),
         "ts",
-        F.unix_micros("ts").alias("t"),
+        (F.unix_micros("ts") + F.when(wanted, F.lit(0))).alias("t"),
         F.col(seq).cast("bigint").alias("seq"),
+    ).where(F.col("t").isNotNull())
+    if spread_ms is None:
+        return keyed
+    width = spread_ms * 1000
+    sliced = keyed.withColumn("slice", F.call_function("div", F.col("t") - F.pmod("t", F.lit(width)), F.lit(width)))
+    return sliced.groupBy("service", "slice").transformWithStateInPandas(
+        HoldProcessor(),
+        "service string, times array<bigint>, numbers array<bigint>, ts timestamp",
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="ts",
     )
 
 
@@ -365,13 +435,16 @@ def stream_anomalies(
     baseline_us: int = 300_000_000,
     multiplier: float = 10.0,
     seq: str = "seq",
+    spread_ms: int | None = None,
 ) -> DataFrame:
     """Anomalous errors of a watermarked stream: service, t, s, older, recent.
 
-    A service's state goes when the watermark is two spans past its last error.
+    A service's state goes when the watermark is two spans past its last error. Errors are judged as they arrive. With
+    `spread_ms` they wait, by service and slices of that length, until the watermark passes them: a service that has most of the
+    errors is spread over tasks, and lateness within the watermark changes nothing.
     """
     return (
-        _keyed(events.where(is_error()), seq)
+        _keyed(events, seq, is_error(), spread_ms)
         .groupBy("service")
         .transformWithStateInPandas(
             AnomalyProcessor(
@@ -390,15 +463,16 @@ def stream_silence(
     threshold_pct: float = 90.0,
     log_start_us: int = 0,
     seq: str = "seq",
+    spread_ms: int | None = None,
 ) -> DataFrame:
     """Silence of a watermarked stream at the first instant the drop holds: service, t, older, ...
 
     An event-time timer per service stands in for the events of other services: a silence is told
     when the watermark passes it. Nothing is told in the first span after `log_start_us`. A service's state goes when the
-    watermark is two spans past its last event.
+    watermark is two spans past its last event. `spread_ms` as for `stream_anomalies`.
     """
     return (
-        _keyed(events.where(present("service").isNotNull()), seq)
+        _keyed(events, seq, present("service").isNotNull(), spread_ms)
         .groupBy("service")
         .transformWithStateInPandas(
             SilenceProcessor(
@@ -423,7 +497,7 @@ def stream_cascades(
     of their burst; then they meet by trace, and pairs are told as new once. A burst is forgotten when its window is over, a trace
     `keep_ms` after its last error; an error that comes later on that trace begins it anew. Pairs stay.
     """
-    # Written so that the filter needs `ts` as a whole: else it is applied before the watermark, which only errors would move then.
+    # As in _keyed, the filter needs `ts` as a whole.
     wanted = F.when(is_error() & present("service").isNotNull(), F.lit(0))
     errors = events.select(
         "service",

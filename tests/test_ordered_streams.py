@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import anomaly, silence
 from faultline.operators.cascade import cascade_origins, mark_new
 from faultline.streaming.live import with_lateness
 from faultline.streaming.reorder import reorder, write_ordered
-from faultline.streaming.stateful import stream_cascades
+from faultline.streaming.stateful import stream_anomalies, stream_cascades, stream_silence
 from tests.test_detectors_against_fold import SECOND, random_events
 from tests.test_streaming import SCHEMA, run_to_memory, stream_of, table
 
@@ -116,3 +117,41 @@ def test_reorder_drops_and_counts_what_is_too_late(spark, tmp_path):
     assert dropped == 1
     assert sorted(r.seq for r in spark.table("too_late").collect()) == [0, 1, 2, 4, 5]
     assert spark.table("too_late").schema.simpleString() == spark.createDataFrame([], SCHEMA).schema.simpleString()
+
+
+@pytest.mark.parametrize("files, reach", [(2, 1), (5, 15 * SECOND)])
+def test_spread_anomalies_equal_batch(spark, tmp_path, files, reach):
+    """One service has all the errors; they wait under many keys."""
+    events = [{**e, "service": "hot"} for e in random_events(21, n=350, gap=SECOND)]
+    arrivals = [*shuffled(events, reach), far(events)]
+    stream = with_lateness(stream_of(spark, arrivals, files, tmp_path), 20_000)
+    got = run_to_memory(spark, stream_anomalies(stream, 240 * SECOND, 1.0, spread_ms=5000), f"spread_anomalies_{files}", tmp_path)
+    want = anomaly.find_anomalies(table(spark, events), 240 * SECOND, 1.0).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want) > 0
+
+
+def test_spread_silence_equals_batch_at_every_instant(spark, tmp_path):
+    events = random_events(21, n=350, gap=SECOND)
+    ahead = [*events, far(events, 600)]
+    arrivals = [*shuffled(events, 15 * SECOND), far(events, 600)]
+    stream = with_lateness(stream_of(spark, arrivals, 4, tmp_path), 20_000)
+    got = run_to_memory(
+        spark, stream_silence(stream, 60 * SECOND, 50.0, log_start_us=events[0]["t"], spread_ms=5000), "spread_silence", tmp_path
+    )
+    want = silence.detect_silence(table(spark, ahead), 60 * SECOND, 50.0, check="tick", tick_us=1).collect()
+    named = lambda rows: sorted((r.service, r.t, r.older, r.recent) for r in rows)
+    assert named(got) == named(want) and len(got) > 3
+
+
+def test_a_hot_service_waits_under_many_keys(spark, tmp_path):
+    """What a service's own key gets is one row for each slice, in order."""
+    from faultline.schema import is_error
+    from faultline.streaming.stateful import _keyed
+
+    at = 1_700_000_000 * SECOND
+    events = [{"t": at + i * 10_000, "s": i, "service": "hot", "err": True, "trace": None} for i in range(1000)]
+    stream = with_lateness(stream_of(spark, [*shuffled(events, SECOND), far(events)], 1, tmp_path), 2000)
+    rows = run_to_memory(spark, _keyed(stream, "seq", is_error(), 1000), "hot_slices", tmp_path)
+    assert len(rows) == 10 and {len(r.times) for r in rows} == {100}
+    assert sorted(n for r in rows for n in r.numbers) == list(range(1000))
+    assert all(list(r.times) == sorted(r.times) for r in rows)
