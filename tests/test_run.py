@@ -10,7 +10,7 @@ from faultline.operators import cascade, silence
 from faultline.plans.correlate import Settings
 from faultline.plans.run import run
 from faultline.sources.configured import SourceSpec, read_sources
-from tests.test_detectors_against_fold import SECOND, random_events
+from tests.test_ordered_streams import traced_events
 from tests.test_streaming import table
 
 
@@ -92,7 +92,7 @@ def test_next_check_orders_only_slice_totals_in_one_task(spark):
 
 
 def test_origins_of_one_kind(spark):
-    events = table(spark, random_events(4, n=300, gap=SECOND))
+    events = table(spark, traced_events(3))
     both = sorted(map(tuple, cascade.cascade_origins(events, 4000).collect()))
     parts = [sorted(map(tuple, cascade.cascade_origins(events, 4000, by=k).collect())) for k in ("trace", "overlap")]
     assert sorted(parts[0] + parts[1]) == both and all(parts)
