@@ -52,28 +52,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
             at = end
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Connected components: (node, component), component = the smallest node reachable.
+def stars(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """Connected components as a written table (u, v): v is the smallest node that u reaches; smallest nodes have no row.
 
-    Large-star and small-star rounds over the edge table. Every round is two groupings by node with partial aggregation;
-    their results are written to the shared folder, so joins with them can split a node of many edges. A node's
-    edges are never gathered.
+    Large-star and small-star rounds over the edge table, until every node but the smallest has one edge, to a node that
+    has none to a smaller one. Every round is two groupings by node with partial aggregation; their results are written to
+    the shared folder, so joins with them can split a node of many edges. A node's edges are never gathered. Nodes may be
+    of any type with an order.
     """
-    spark = edges.sparkSession
-    now = materialize(
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .where("u <> v")
-        .distinct()
-    )
+    now = materialize(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct())
 
     def both(e: DataFrame) -> DataFrame:
         return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def mark(e: DataFrame) -> tuple:
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def done(e: DataFrame) -> bool:
+        ends = e.select("u", "v", F.lit(False).alias("above")).unionAll(e.select("v", F.lit(None), F.lit(True)))
+        node = ends.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("above").alias("above"))
+        return node.where("low <> high OR (above AND low IS NOT NULL)").isEmpty()
 
-    before = mark(now)
-    while before[0]:
+    while not done(now):
         arcs = both(now)
         least = materialize(arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = materialize(
@@ -82,12 +79,14 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialize(hung.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+    return now
+
+
+def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """Connected components: (node, component), component = the smallest node reachable; smallest nodes included."""
+    found = stars(edges, left, right)
+    roots = found.select(F.col("v").alias("node")).distinct()
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))
     )
 

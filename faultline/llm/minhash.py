@@ -7,8 +7,9 @@ two bags agree in a register with a probability that is their weighted Jaccard s
 time is past every register of its bag, so a bag costs about as many points as it has shingles.
 
 Registers are banded. Bags that share a band are candidates, which are verified on the whole bags: first every bag of a bucket
-against the bucket's smallest. Clusters of candidates that this leaves in several parts are then compared in blocks: every bag
+against the bucket's smallest. Parts that a failed pair still joins make a cluster, which is then compared in blocks: every bag
 outside the largest part with all bags of other parts, by a product of incidence matrices. Pairs are never rows there.
+A bag is named by its smallest key and its hash, so rows of one key and different texts are told apart.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import components, groups, materialize, slices
+from faultline.llm.common import components, groups, materialize, slices, stars
 from faultline.llm.words import Words, mix, windows
 
 WIDTH, LEAST = 5, 0.8
@@ -102,22 +103,30 @@ def bands(table: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def totals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit values by text, wrapping."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    return (sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
+
+
+def bag_hash(shingle: np.ndarray, copies: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return totals(mix(shingle + copies.astype(np.uint64) * _STEP), offsets)
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "t"):
         shingle, copies, offsets = bags(b.column(1))
         keys = bands(signatures(shingle, copies, offsets))
-        whole = np.concatenate([[np.uint64(0)], np.cumsum(mix(shingle + copies.astype(np.uint64) * _STEP), dtype=np.uint64)])
-        again = np.concatenate([[np.uint64(0)], np.cumsum(mix(shingle ^ (copies.astype(np.uint64) * _STEP)), dtype=np.uint64)])
-        n = np.diff(offsets)
         yield pa.record_batch(
             [
                 b.column(0),
-                pa.array(n),
-                pa.array((whole[offsets[1:]] - whole[offsets[:-1]]).view(np.int64)),
-                pa.array((again[offsets[1:]] - again[offsets[:-1]]).view(np.int64)),
+                b.column(2),
+                pa.array(np.diff(offsets)),
+                pa.array(bag_hash(shingle, copies, offsets)),
+                pa.array(totals(mix(shingle ^ (copies.astype(np.uint64) * _STEP)), offsets)),
                 pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())),
             ],
-            ["k", "n", "h1", "h2", "bands"],
+            ["k", "x", "n", "h1", "h2", "bands"],
         )
 
 
@@ -127,7 +136,9 @@ def bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = [
             shingle[a:z].astype("<u8").tobytes() + copies[a:z].astype("<u4").tobytes() for a, z in zip(offsets, offsets[1:])
         ]
-        yield pa.record_batch([b.column(0), pa.array(pack, pa.binary())], ["k", "bag"])
+        yield pa.record_batch(
+            [b.column(0), pa.array(pack, pa.binary()), pa.array(bag_hash(shingle, copies, offsets))], ["k", "bag", "h"]
+        )
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -150,15 +161,18 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between bags of two blocks that are in different parts: for each bag of side 0, one to every such part."""
+    """Pairs of parts, one of each side of a task, that a bag of each side links."""
     for b, at in groups(batches, 3):
         for a, z in zip(at, at[1:]):
             g = b.slice(int(a), int(z - a))
-            side, rep, part = (np.asarray(g.column(i)) for i in (3, 4, 5))
+            side, place = np.asarray(g.column(3)), g.column(4)
             n = int((side == 0).sum())
             if not n or n == len(side):
                 continue
-            size, row, key = elements([x.as_buffer() for x in g.column(6)])
+            fields = np.stack([np.asarray(f) for f in place.flatten()], axis=1)
+            _, first, part = np.unique(fields, axis=0, return_index=True, return_inverse=True)
+            part = part.reshape(-1)
+            size, row, key = elements([x.as_buffer() for x in g.column(5)])
             left = row < n
             shared = np.intersect1d(key[left], key[~left])
             common = np.zeros((n, len(side) - n), np.float32)
@@ -174,8 +188,8 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             union = size[:n, None] + size[None, n:] - common
             i, j = np.nonzero((common >= LEAST * union) & (part[:n, None] != part[None, n:]))
             if len(i):
-                _, first = np.unique(np.stack([i, part[n:][j]]), axis=1, return_index=True)
-                yield pa.record_batch([pa.array(rep[:n][i[first]]), pa.array(rep[n:][j[first]])], ["a", "b"])
+                pairs = np.unique(np.stack([part[:n][i], part[n:][j]]), axis=1)
+                yield pa.record_batch([place.take(pa.array(first[p])) for p in pairs], ["a", "b"])
 
 
 def elements(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,60 +204,83 @@ def elements(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.bincount(row, minlength=len(packs)).astype(np.float32), row, key
 
 
+NODE = "struct<k: bigint, h: bigint>"
+
+
+def late_links(failed: DataFrame, joined: DataFrame, met: DataFrame, whole: DataFrame) -> DataFrame:
+    """Links (a, b) between parts that a failed pair joins: each cluster of such parts is compared in blocks.
+
+    A task has a block of the bags outside the cluster's largest part and a block of all its bags, so the bags of a cluster
+    are sent once for every BLOCK bags outside that part.
+    """
+    cluster = components(failed).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    reps = met.select("rep").distinct()
+    member = reps.join(joined, F.col("rep") == F.col("u"), "left").select("rep", F.coalesce("v", "rep").alias("c"))
+    member = materialize(member.join(materialize(cluster), "c"))
+    main = member.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster")
+    main = materialize(main.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")))
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    def own(n: Column) -> Column:
+        return F.pmod(F.xxhash64("rep"), n).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    some, all_ = blocks(F.col("m") - F.col("most")), blocks(F.col("m"))
+    member = member.join(main, "cluster").withColumn("cluster", F.xxhash64("cluster"))
+    rest = member.where("c <> main").select("cluster", own(some).alias("i"), every(all_).alias("j"), F.lit(0).alias("side"), "c", "rep")
+    others = member.select("cluster", every(some).alias("i"), own(all_).alias("j"), F.lit(1).alias("side"), "c", "rep")
+    task = ["cluster", "i", "j"]
+    dealt = rest.unionAll(others).join(whole, F.col("rep") == F.col("node")).select(*task, "side", "c", "bag")
+    return dealt.repartition(*task).sortWithinPartitions(*task, "side").mapInArrow(across, f"a {NODE}, b {NODE}")
+
+
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, class_id (the smallest key of the group), n_shingles, kept (key = class_id).
+    """One row per row of docs: key, class_id (the smallest key of the group), n_shingles, kept (key = class_id), text_id, class_hash.
 
-    A text that is null or has no word is alike to none and kept. Rows of one key stand or fall together. A null key is a
-    class of its own and kept. Other columns are not read. An empty table gives no rows.
+    A text that is null or has no word is alike to none and kept (class_hash is null). Rows of one key are judged each by its
+    own text, told apart by `text_id`, a hash of the text; groups that begin with one key are told apart by `class_hash`.
+    Rows of one key that are alike are all kept or all not. A null key is a class of its own and kept. Other columns are not read. An empty table gives no rows.
     """
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    signed = materialize(rows.mapInArrow(sign, "k long, n long, h1 long, h2 long, bands array<long>"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("x"))
+    signed = materialize(rows.mapInArrow(sign, "k long, x long, n long, h1 long, h2 long, bands array<long>"))
     bag = ["n", "h1", "h2"]
+    rep = F.struct(F.min("k").alias("k"), F.col("h1").alias("h"))
     classes = materialize(
-        signed.where("n > 0 AND k IS NOT NULL").groupBy(*bag).agg(F.min("k").alias("rep"), F.first("bands").alias("bands"))
+        signed.where("n > 0 AND k IS NOT NULL").groupBy(*bag).agg(rep.alias("rep"), F.first("bands").alias("bands"))
     )
     spots = classes.select("rep", F.posexplode("bands").alias("band", "spot"))
     spots = spots.select("rep", F.xxhash64("band", "spot").alias("spot"))
     shared = materialize(spots.groupBy("spot").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    met = materialize(spots.join(shared, "spot").select("spot", "rep", "least"))
-    candidates = materialize(met.select("rep").distinct())
-    whole = rows.join(candidates, F.col("k") == F.col("rep"), "left_semi").dropDuplicates(["k"])
-    whole = materialize(whole.mapInArrow(bag_rows, "k long, bag binary"))
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(whole.select(F.col("k").alias("a"), F.col("bag").alias("x")), "a")
-        both = left.join(whole.select(F.col("k").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(verify, "a long, b long, ok boolean"))
-
-    pairs = met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = materialize(pairs)
-    done = tested(pairs)
-    joined = materialize(components(done.where("ok").select("a", "b")))
-    # bags that are linked through buckets but not connected yet: each cluster of them is compared in blocks
-    cluster = materialize(components(pairs))
-    placed = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    placed = placed.join(joined, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("component", "rep").alias("c"))
-    kinds = materialize(placed.groupBy("cluster", "c").agg(F.count("*").alias("m")))
-    main = materialize(
-        kinds.groupBy("cluster").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    )
-    open_ = placed.join(main, "cluster").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = open_.where("c <> main").select("cluster", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "c")
-    all_ = open_.select("cluster", every.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep", "c")
-    dealt = rest.unionAll(all_).join(whole.select(F.col("k").alias("rep"), "bag"), "rep").select("cluster", "i", "j", "side", "rep", "c", "bag")
-    task = ["cluster", "i", "j"]
-    late = dealt.repartition(*task).sortWithinPartitions(*task, "side", "rep").mapInArrow(across, "a long, b long")
-    links = done.where("ok").select("a", "b").unionAll(materialize(late))
-    joined = materialize(components(links))
-    of_class = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
-        *bag, F.coalesce("component", "rep").alias("class_id")
-    )
-    found = signed.select("k", *bag).join(materialize(of_class), bag, "left").where("n > 0 AND k IS NOT NULL")
-    alone = signed.where("n = 0 OR k IS NULL").select("k", "n", F.col("k").alias("class_id"))
+    met = materialize(spots.join(shared, "spot").select("rep", "least"))
+    texts = rows.join(met.select(F.col("rep.k").alias("k")).distinct(), "k", "left_semi").dropDuplicates(["k", "x"])
+    whole = texts.select("k", "t").mapInArrow(bag_rows, "k long, bag binary, h long")
+    whole = materialize(whole.select(F.struct("k", "h").alias("node"), "bag"))
+    pairs = materialize(met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
+    left = pairs.join(whole.select(F.col("node").alias("a"), F.col("bag").alias("p")), "a")
+    tried = left.join(whole.select(F.col("node").alias("b"), F.col("bag").alias("q")), "b").select("a", "b", "p", "q")
+    tried = materialize(tried.mapInArrow(verify, f"a {NODE}, b {NODE}, ok boolean"))
+    joined = stars(tried.where("ok"))
+
+    def part(name: str) -> DataFrame:
+        return joined.select(F.col("u").alias(name), F.col("v").alias(f"of_{name}"))
+
+    failed = tried.where("NOT ok").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    failed = failed.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    failed = materialize(failed.distinct())
+    of_class = classes.join(joined, F.col("rep") == F.col("u"), "left").select(*bag, F.coalesce("v", "rep").alias("c"))
+    if not failed.isEmpty():
+        merged = stars(late_links(failed, joined, met, whole))
+        of_class = of_class.join(merged, F.col("c") == F.col("u"), "left").select(*bag, F.coalesce("v", "c").alias("c"))
+    of_class = materialize(of_class.select(*bag, F.col("c.k").alias("class_id"), F.col("c.h").alias("g")))
+    found = signed.select("k", "x", *bag).join(of_class, bag, "left").where("n > 0 AND k IS NOT NULL")
+    alone = signed.where("n = 0 OR k IS NULL").select("k", "x", "n", F.col("k").alias("class_id"), F.lit(None).cast("long").alias("g"))
+    same = F.coalesce(F.col("k") == F.col("class_id"), F.lit(True))
     return (
-        found.select("k", "n", "class_id")
+        found.select("k", "x", "n", "class_id", "g")
         .unionAll(alone)
-        .select(F.col("k").alias(key), "class_id", F.col("n").alias("n_shingles"), F.coalesce(F.col("k") == F.col("class_id"), F.lit(True)).alias("kept"))
+        .select(F.col("k").alias(key), "class_id", F.col("n").alias("n_shingles"), same.alias("kept"), F.col("x").alias("text_id"), F.col("g").alias("class_hash"))
     )

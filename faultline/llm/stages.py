@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import langid, minhash, quality, suffix
 from faultline.llm import packing as _packing
-from faultline.llm.common import importable
+from faultline.llm.common import fresh, importable, materialize
 from faultline.llm.queries import word_tokenizer
 
 
@@ -29,10 +29,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id."""
+    """One document of each group: one with the smallest doc_id.
+
+    Null texts, texts without a word and rows without a doc_id stay. Rows of one doc_id are judged each by its own text;
+    of those that are alike one stays. An empty table stays empty; all columns are returned.
+    """
     importable(spark)
-    gone = minhash.near_texts(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(minhash.near_texts(docs))
+    mark = fresh("text_id", docs.columns)
+    gone = found.where("NOT kept").select("doc_id", F.col("text_id").alias(mark)).distinct()
+    left = docs.withColumn(mark, F.xxhash64("text")).join(gone, ["doc_id", mark], "left_anti")
+    # ids that several of the rows left have, which are few: one row of each class stays
+    group = fresh("class_hash", docs.columns)
+    kept = found.where("kept AND class_hash IS NOT NULL").select("doc_id", F.col("text_id").alias(mark), F.col("class_hash").alias(group))
+    several = materialize(kept.groupBy("doc_id", group).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    repeated = kept.join(several, ["doc_id", group]).distinct()
+    once = left.join(repeated, ["doc_id", mark], "left_anti")
+    again = left.join(repeated, ["doc_id", mark]).dropDuplicates(["doc_id", group])
+    return once.select(*docs.columns).unionAll(again.select(*docs.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,11 +313,45 @@ def test_across_finds_links_between_parts():
 
     texts = [" ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41)), " ".join(f"v{i}" for i in range(40))]
     packs = list(minhash.bag_rows(iter([pa.record_batch([pa.array([1, 2, 3]), pa.array(texts)], ["k", "t"])])))[0].column(1)
+    part = pa.array([{"k": k, "h": 0} for k in (1, 1, 2, 3)])
     g = pa.record_batch(
-        [pa.array([9] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array([0, 1, 1, 1]), pa.array([1, 1, 2, 3]), pa.array([1, 1, 2, 3]), packs.take(pa.array([0, 0, 1, 2]))],
-        ["cluster", "i", "j", "side", "rep", "c", "bag"],
+        [pa.array([9] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array([0, 1, 1, 1]), part, packs.take(pa.array([0, 0, 1, 2]))],
+        ["cluster", "i", "j", "side", "c", "bag"],
     )
-    assert [b.to_pydict() for b in minhash.across(iter([g]))] == [{"a": [1], "b": [2]}]
+    assert [b.to_pydict() for b in minhash.across(iter([g]))] == [{"a": [{"k": 1, "h": 0}], "b": [{"k": 2, "h": 0}]}]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rng = random.Random(4)
+    a, b = ([f"v{rng.randrange(10**6)}" for _ in range(120)] for _ in range(2))
+    near_a, near_b = " ".join([*a[:-1], "other"]), " ".join([*b[:-1], "other"])
+    a, b = " ".join(a), " ".join(b)
+    rows = [(1, a), (1, b), (1, a), (2, near_a), (3, near_b), (5, b), (5, "a text of its own that is like none"), (6, None), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.class_id, r.kept) for r in minhash.near_texts(df).collect())
+    assert found == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (5, 1, False), (5, 5, True), (6, 6, True), (6, 6, True)]
+    left = sorted((r.doc_id, r.text or "") for r in stages.near_duplicates(spark, df, "").collect())
+    assert left == sorted([(1, a), (1, b), (5, rows[6][1]), (6, ""), (6, "")])
+
+
+def test_a_cluster_of_near_texts_in_chains(spark):
+    """Texts that change word by word: most meet their bucket's smallest below the limit, so that blocks must link them."""
+    rng = random.Random(8)
+    text = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(400):
+        text[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in minhash.near_texts(df).collect()}
+    root, bags = list(range(400)), [bag(t) for _, t in rows]
+    for i in range(400):
+        for j in range(i):
+            least = (bags[i] & bags[j]).total()
+            if least >= 0.8 * (bags[i] | bags[j]).total():
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [found[i] for i in range(400)] == root
 
 
 def test_components(spark):
