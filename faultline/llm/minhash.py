@@ -207,14 +207,13 @@ def elements(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 NODE = "struct<k: bigint, h: bigint>"
 
 
-def late_links(failed: DataFrame, joined: DataFrame, met: DataFrame, whole: DataFrame) -> DataFrame:
+def late_links(failed: DataFrame, joined: DataFrame, reps: DataFrame, whole: DataFrame) -> DataFrame:
     """Links (a, b) between parts that a failed pair joins: each cluster of such parts is compared in blocks.
 
     A task has a block of the bags outside the cluster's largest part and a block of all its bags, so the bags of a cluster
     are sent once for every BLOCK bags outside that part.
     """
     cluster = components(failed).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
-    reps = met.select("rep").distinct()
     member = reps.join(joined, F.col("rep") == F.col("u"), "left").select("rep", F.coalesce("v", "rep").alias("c"))
     member = materialize(member.join(materialize(cluster), "c"))
     main = member.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster")
@@ -256,7 +255,9 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spots = spots.select("rep", F.xxhash64("band", "spot").alias("spot"))
     shared = materialize(spots.groupBy("spot").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = materialize(spots.join(shared, "spot").select("rep", "least"))
-    texts = rows.join(met.select(F.col("rep.k").alias("k")).distinct(), "k", "left_semi").dropDuplicates(["k", "x"])
+    # written, so that its size is known: while it is small, only the texts of candidates are shuffled
+    reps = materialize(met.select("rep").distinct())
+    texts = rows.join(reps.select(F.col("rep.k").alias("k")), "k", "left_semi").dropDuplicates(["k", "x"])
     whole = texts.select("k", "t").mapInArrow(bag_rows, "k long, bag binary, h long")
     whole = materialize(whole.select(F.struct("k", "h").alias("node"), "bag"))
     pairs = materialize(met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
@@ -273,7 +274,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     failed = materialize(failed.distinct())
     of_class = classes.join(joined, F.col("rep") == F.col("u"), "left").select(*bag, F.coalesce("v", "rep").alias("c"))
     if not failed.isEmpty():
-        merged = stars(late_links(failed, joined, met, whole))
+        merged = stars(late_links(failed, joined, reps, whole))
         of_class = of_class.join(merged, F.col("c") == F.col("u"), "left").select(*bag, F.coalesce("v", "c").alias("c"))
     of_class = materialize(of_class.select(*bag, F.col("c.k").alias("class_id"), F.col("c.h").alias("g")))
     found = signed.select("k", "x", *bag).join(of_class, bag, "left").where("n > 0 AND k IS NOT NULL")
