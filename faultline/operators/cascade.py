@@ -463,10 +463,14 @@ def drift_origins(
     keep that one and are not repeated here.
     """
     key = ["service", "t", "s"]
-    inside = cascade_origins(events, window_ms, seq).select(*key)
+    errors = error_table(events, seq)
+    inside, wide = side_by_side(
+        events.sparkSession,
+        lambda: materialize(cascade_origins(events, window_ms, seq, errors).select(*key)),
+        lambda: cascade_origins(events, window_ms + tolerance_ms, seq, errors),
+    )
     return (
-        cascade_origins(events, window_ms + tolerance_ms, seq)
-        .join(inside, key, "left_anti")
+        wide.join(inside, key, "left_anti")
         .withColumn(
             "drift_warning",
             F.lit(f"origin up to {tolerance_ms} ms outside the {window_ms} ms window"),
