@@ -37,13 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     importable(spark)
     found = materialize(minhash.near_texts(docs))
     mark = fresh("text_id", docs.columns)
-    gone = found.where("NOT kept").select("doc_id", F.col("text_id").alias(mark)).distinct()
+    # both tables that texts are joined with are written, so that no text is shuffled while they are small
+    gone = materialize(found.where("NOT kept").select("doc_id", F.col("text_id").alias(mark)).distinct())
     left = docs.withColumn(mark, F.xxhash64("text")).join(gone, ["doc_id", mark], "left_anti")
     # ids that several of the rows left have, which are few: one row of each class stays
     group = fresh("class_hash", docs.columns)
     kept = found.where("kept AND class_hash IS NOT NULL").select("doc_id", F.col("text_id").alias(mark), F.col("class_hash").alias(group))
     several = materialize(kept.groupBy("doc_id", group).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    repeated = kept.join(several, ["doc_id", group]).distinct()
+    repeated = materialize(kept.join(several, ["doc_id", group]).distinct())
     once = left.join(repeated, ["doc_id", mark], "left_anti")
     again = left.join(repeated, ["doc_id", mark]).dropDuplicates(["doc_id", group])
     return once.select(*docs.columns).unionAll(again.select(*docs.columns))
