@@ -224,20 +224,79 @@ def test_toxicity(spark, docs, nothing):
     assert {r.score for r in toxicity.predict(docs, toxicity.learn(nothing, labels.limit(0), "false")).collect()} == {0.0}
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT", 12)
     rng = np.random.default_rng(4)
     n, terms = 700, 40
-    rows = [(np.sort(rng.choice(terms, rng.integers(1, 9), replace=False)), None) for _ in range(n)]
+    rows = [(np.sort(rng.choice(terms, rng.integers(0, 9), replace=False)), None) for _ in range(n)]
     rows = [(t, rng.integers(1, 4, len(t))) for t, _ in rows]
     index = toxicity.Index(list(range(n)), rng.integers(0, 2, n), rows, np.arange(terms, dtype=np.uint64), rng.random(terms) + 1, 0.3)
     dense = np.zeros((n, terms))
-    for i, (t, w) in enumerate(index.rows):
-        dense[i, t] = w
-    for t, c in rows[:50]:
-        q = index.unit(t, c)
-        want = dense @ np.bincount(q[0], q[1], terms)
-        places, cosines = index.nearest(*q)
-        assert np.allclose(cosines, np.sort(want[want > 0])[::-1][: toxicity.K])
+    for i, (t, c) in enumerate(rows):
+        dense[i, t] = (1 + np.log(c)) * index.idf[t]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    ends, flat = np.cumsum([0, *(len(t) for t, _ in rows)]), np.concatenate([t for t, _ in rows])
+    places, cosines = index.nearest(ends, flat, index.unit(ends, flat, np.concatenate([c for _, c in rows])))
+    want = dense @ dense[index.ids].T
+    for i in range(n):
+        assert np.allclose(cosines[i], np.sort(np.round(want[i], 9))[::-1][: toxicity.K], atol=2e-9)
+        some = cosines[i] > 0
+        assert np.allclose(want[i][places[i][some]], cosines[i][some], atol=2e-9)
+
+
+def test_toxicity_against_all_cosines(spark):
+    """Neighbours, evidence and calibrated scores from whole TF-IDF vectors, without index or blocks."""
+    rng = random.Random(12)
+    words_ = ["".join(rng.choice("abdeilnorstu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    texts = {i: " ".join(rng.choices(words_, k=rng.randint(3, 60)) + ["fool Fools!"] * (i % 4 == 0) * rng.randint(0, 3)) for i in range(400)}
+    texts |= {400: "", 401: None, 402: texts[8], 403: "qqqq"}
+    toxic = {i: int(i % 4 == 0) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    index = toxicity.learn(docs, labels, "doc_id % 5 = 0")
+    found = {r.doc_id: r for r in toxicity.predict(docs, index).collect()}
+
+    def terms(text):
+        out = Counter()
+        for w in re.findall(r"[0-9a-z]+", (text or "").lower()):
+            out.update([w, *(w[:n] for n in toxicity.PREFIXES if len(w) > n)])
+        return out
+
+    train = [i for i in toxic if i % 5]
+    bags = {i: terms(t) for i, t in texts.items()}
+    names = {w: j for j, w in enumerate(sorted(set().union(*(bags[i] for i in train))))}
+    df = np.zeros(len(names))
+    for bag in bags.values():
+        df[[names[w] for w in bag if w in names]] += 1
+    labelled, telling = np.array([toxic[i] for i in train]), np.zeros(len(names))
+    for w, j in names.items():
+        holds = np.array([w in bags[i] for i in train])
+        telling[j] = abs(np.corrcoef(holds, labelled)[0, 1]) if 0 < holds.sum() < len(train) else 0.0
+    matrix = np.zeros((len(texts), len(names)))
+    for i, bag in bags.items():
+        for w, n in bag.items():
+            if w in names:
+                idf = math.log((len(texts) + 1) / (df[names[w]] + 1)) + 1
+                matrix[i, names[w]] = (1 + math.log(n)) * idf * (1 + toxicity.TELLING * telling[names[w]])
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    assert sorted(index.ids.tolist()) == train
+    place = {k: p for p, k in enumerate(index.ids.tolist())}
+    share = sum(toxic[i] for i in train) / len(train)
+    scores = []
+    for i in texts:
+        cosine = np.round(matrix[train] @ matrix[i], 9)
+        best = sorted((-c, place[k], k) for c, k in zip(cosine, train) if c > 0)[: toxicity.K]
+        if not best:
+            assert found[i].evidence == [] and found[i].score == pytest.approx(share)
+            continue
+        assert [float(matrix[i] @ matrix[k]) for k in found[i].evidence] == pytest.approx([-c for c, _, _ in best[:3]], abs=2e-9)
+        votes = [(1 / (1.05 + max(c, -1.0)), toxic[k]) for c, _, k in best]
+        raw = sum(w * y for w, y in votes) / sum(w for w, _ in votes)
+        assert found[i].score == pytest.approx(float(np.interp(raw, *index.steps)), abs=1e-6)
+        scores.append((raw, found[i].score))
+    scores.sort()
+    assert all(a[1] <= b[1] + 1e-9 for a, b in zip(scores, scores[1:]))
+    assert {400, 401, 403} == {i for i, r in found.items() if not r.evidence}
 
 
 def test_vectors(spark):
