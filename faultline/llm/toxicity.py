@@ -28,7 +28,7 @@ PREFIXES = (4, 5, 6)
 TELLING = 10.0
 K, BLOCK = 15, 64
 #: Frequent terms whose weights are kept as a matrix, and texts searched at a time; neither changes results.
-FREQUENT, AT_ONCE = 1024, 256
+FREQUENT, AT_ONCE = 1024, 32
 #: Examples that blocks are gathered around.
 CENTRES = 16
 #: Steps of the calibration.
@@ -72,20 +72,22 @@ class Index:
         self.frequent = np.full(len(vocabulary), -1, np.int64)
         self.frequent[often] = np.arange(len(often))
         whole = self.frequent[terms]
-        matrix = np.zeros((n, len(often)))
-        matrix[owner[whole >= 0], whole[whole >= 0]] = weights[whole >= 0]
+        inside = whole >= 0
+        matrix = np.zeros((n, len(often)), np.float32)  # only to order examples by
+        matrix[owner[inside], whole[inside]] = weights[inside]
         order = np.lexsort((np.array(ids, np.int64), _around(matrix)))
+        del matrix
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids, self.labels = np.array(ids, np.int64)[order], np.asarray(labels)[order]
         self.blocks = max(1, -(-n // BLOCK))
         self.size = self.blocks * BLOCK
         #: matrix[block]: frequent terms by its examples; most: their largest weight in each block.
-        padded = np.zeros((len(often), self.size))
-        padded[:, :n] = matrix[order].T
-        self.matrix = np.ascontiguousarray(padded.reshape(len(often), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.matrix = np.zeros((self.blocks, len(often), BLOCK))
+        at = place[owner[inside]]
+        self.matrix[at // BLOCK, whole[inside], at % BLOCK] = weights[inside]
         self.most = self.matrix.max(axis=2).T
-        rare = np.flatnonzero(whole < 0)
+        rare = np.flatnonzero(~inside)
         rare = rare[np.lexsort((place[owner[rare]], terms[rare]))]
         self.starts = np.searchsorted(terms[rare], np.arange(len(vocabulary) + 1))
         self.places, self.weights = place[owner[rare]].astype(np.int32), weights[rare]
