@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +41,28 @@ def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_letter, _ = letters()
     flat = "\x00".join(t.replace("\x00", " ") if t else "" for t in texts).lower()
     code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    del flat
     end = code == 0
-    doc = np.cumsum(end)
+    doc = np.cumsum(end, dtype=np.int32)  # small arrays: a step's memory is a multiple of its text
     letter = is_letter[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1] & ~end[1:]  # one space after a word
     keep |= end
     code, doc, letter, end = code[keep], doc[keep], letter[keep], end[keep]
-    symbol = np.where(letter, code % LETTERS, 32).astype(np.uint64)
+    symbol = np.where(letter, code % np.uint32(LETTERS), np.uint32(32))
+    del code, letter, keep
     m = len(symbol) - N + 1
     if m <= 0:
         return (np.zeros(0, np.int64),) * 3
     run, cut = np.zeros(m, np.uint64), np.zeros(m, bool)
     for j in range(N):
-        run = run * np.uint64(LETTERS) + symbol[j : j + m]
+        run *= np.uint64(LETTERS)
+        run += symbol[j : j + m]
         cut |= end[j : j + m]
-    run = np.sort(((doc[:m].astype(np.uint64) << np.uint64(12 * N)) | run)[~cut])
+    del symbol, end
+    run |= doc[:m].astype(np.uint64) << np.uint64(12 * N)
+    run = run[~cut]
+    run.sort()
     if not len(run):
         return (np.zeros(0, np.int64),) * 3
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -113,13 +120,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
 
     A text that is null or has no letter is "und" with score 0, as is every text if nothing was learned. Of languages with
     equal cosines the first by name is taken. Repeated rows are predicted each; other columns are neither read nor returned.
+    `text` may be a field of a struct `key`, as "doc.text"; then it is sent once.
     """
     names, prototypes = model
     kept = [key, *also]
+    inside = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") and text not in docs.columns else None
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b if inside is None else pa.record_batch([*b.columns, pc.struct_field(b.column(0), inside)], [*kept, "_t"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_t"):
+        for b in slices(sent(batches), "_t"):
             v, some = vectors(b.column(len(kept)).to_pylist())
             cosine = v @ prototypes.T.astype(np.float32) if names else np.zeros((len(v), 1))
             best = cosine.argmax(axis=1)
@@ -134,4 +147,5 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
                 [*kept, "lang_pred", "score"],
             )
 
-    return docs.select(*kept, F.col(text).alias("_t")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    rows = docs.select(*kept) if inside else docs.select(*kept, F.col(text).alias("_t"))
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

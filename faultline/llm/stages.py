@@ -17,8 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs)
     if not model[0]:
         return docs
-    rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("t"))
-    found = langid.predict(rows, model, key="doc", text="t")
+    found = langid.predict(docs.select(F.struct("*").alias("doc")), model, key="doc", text="doc.text")
     sure = (F.length("doc.text") < langid.LONG) | (F.col("score") >= langid.LEAST)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & sure).select("doc.*")
 
