@@ -80,9 +80,11 @@ class Columns:
                 return
             length += 1
             order = np.argsort(symbol, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            mine = rank[place]
+            # strings are kept in order of place, so that places are read and written from end to end; now by symbol, then place
+            turn = np.argsort(symbol[place], kind="stable")
+            some, asked = some[turn], np.zeros(len(symbol), bool)
+            asked[place] = True
+            place, mine = place[turn], np.flatnonzero(asked[order])
             bare = len(symbol) - np.count_nonzero(symbol)
             new = m + mine - bare
             # common prefixes with the occurrences of the same symbol before and after
@@ -163,6 +165,27 @@ class Columns:
         return owner[some], length[some].astype(np.int64), group[some]
 
 
+def meeting(key: np.ndarray, k: np.ndarray, shift: np.ndarray, begin: np.ndarray, end: np.ndarray, total: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Which pieces can share a window with a piece of another document; a false hit costs work, never a result.
+
+    A window holds its anchor's gram, and besides it at least half of the other bytes on one side. So equal windows agree in
+    their anchor and in that stretch on its left or on its right.
+    """
+    gram = begin + shift
+    half = (WINDOW - GRAM) // 2
+    out = np.zeros(len(key), bool)
+    for first, last in ((gram - half, gram + GRAM), (gram, gram + GRAM + half)):
+        some = np.flatnonzero((first >= begin) & (last <= end))
+        seed = mix((total[last[some]] - total[first[some]]) * down[first[some]]) ^ key[some]
+        order = np.argsort(seed, kind="stable")
+        seed, some = seed[order], some[order]
+        heads = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))[: len(seed)]
+        if len(heads):
+            several = np.maximum.reduceat(k[some], heads) > np.minimum.reduceat(k[some], heads)
+            out[some[np.repeat(several, np.diff(np.concatenate([heads, [len(seed)]])))]] = True
+    return out
+
+
 def repeats(key: np.ndarray, k: np.ndarray, h: np.ndarray, start: np.ndarray, shift: np.ndarray, data: np.ndarray, ends: np.ndarray) -> tuple:
     """Windows of the pieces that also start in a document with a smaller key: (piece, first byte, end)."""
     none = (np.zeros(0, np.int64),) * 3
@@ -174,6 +197,9 @@ def repeats(key: np.ndarray, k: np.ndarray, h: np.ndarray, start: np.ndarray, sh
         return none
     size = np.diff(ends)
     total, down = sums(data)
+    use = use[meeting(key[use], k[use], shift[use], ends[use], ends[use + 1], total, down)]
+    if not len(use):
+        return none
     name = mix((total[ends[1:]] - total[ends[:-1]]) * down[ends[:-1]] + size.astype(np.uint64))
     _, first, kind = np.unique(name[use] ^ key[use], return_index=True, return_inverse=True)
     first = use[first]

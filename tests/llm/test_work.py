@@ -1,9 +1,13 @@
 """How much the operators send and work out: their results are held against brute force in test_operators.py."""
 
+import random
+
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, langid
+from faultline.llm import common, langid, suffix
 
 
 def test_language_of_a_field_is_told_without_a_second_copy_of_the_text(spark):
@@ -23,3 +27,24 @@ def test_a_task_gives_its_memory_back(monkeypatch):
     batch = pa.record_batch([pa.array([1, 1, 2]), pa.array(["a", "b", "c"])], ["k", "t"])
     assert sum(b.num_rows for b in common.slices(iter([batch, batch]), "t", 1)) == 6 and calls == [1]
     assert sum(b.num_rows for b, _ in common.groups(iter([batch]), 1)) == 3 and calls == [1, 1]
+
+
+def test_pieces_that_share_only_an_anchor_stay_out_of_the_suffix_order(monkeypatch):
+    rng = random.Random(2)
+
+    def noise(n):
+        return bytes(rng.randrange(97, 123) for _ in range(n))
+
+    def judge(a, b, shift, keys=(1, 2)):
+        data = np.frombuffer(a + b, np.uint8)
+        ends = np.array([0, len(a), len(a) + len(b)])
+        piece, lo, hi = suffix.repeats(np.full(2, 7, np.uint64), np.array(keys), np.zeros(2), np.array([100, 200]), np.array(shift), data, ends)
+        return list(zip(piece.tolist(), lo.tolist(), hi.tolist()))
+
+    gram = noise(suffix.GRAM)
+    for before in range(suffix.WINDOW - suffix.GRAM + 1):  # one window in common, with the anchor at every place in it
+        window = noise(before) + gram + noise(suffix.WINDOW - suffix.GRAM - before)
+        assert judge(window, b"A" + window + b"B", (before, before + 1)) == [(1, 201, 201 + suffix.WINDOW)]
+        assert judge(window, window, (before, before), keys=(3, 3)) == []
+    monkeypatch.setattr(suffix, "Columns", lambda *a: pytest.fail("a piece without a partner was put in order"))
+    assert judge(noise(20) + gram + noise(20), noise(20) + gram + noise(20), (20, 20)) == []
