@@ -23,6 +23,8 @@ from faultline.llm.words import mix, sums
 MOST_BYTES, ITEM_BITS, PROBES = 48 << 20, 10, 3
 #: Distinct anchors a task gathers before it sends them; bytes of pieces it gathers.
 GATHERED, PIECE_BYTES = 3_000_000, 3 << 20
+#: Rows that a segment of a filter of rows is made of.
+SEGMENT_ROWS = 500_000
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -146,14 +148,39 @@ def repeated(rows: DataFrame, pieces: Callable[[pa.Array], tuple], parts: int, b
                 blob = Seen.segment(keys[counts > 1], MOST_BYTES // parts)
                 yield pa.record_batch([b.column(0).slice(int(a), 1), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
-    sent = rows.mapInArrow(send, "bucket int, blob binary")
+    return _segments(rows.mapInArrow(send, "bucket int, blob binary"), count, parts)
+
+
+def _segments(sent: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], parts: int) -> Seen:
     segments = materialize(
-        sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, blob binary")
+        sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(make, "bucket int, blob binary")
     )
     found = {r["bucket"]: bytes(r["blob"]) for r in segments.toLocalIterator()}  # MOST_BYTES at most
     return Seen([found.get(p, b"\0" * 8) for p in range(parts)])
 
 
+def filter_of(keys: DataFrame, *columns: Column) -> Callable[..., Column]:
+    """A function of columns: whether `keys` may have a row with their values. False only where it has none; it is MOST_BYTES at most."""
+    parts = max(8, -(-keys.count() // SEGMENT_ROWS))
+    hashed = keys.select(F.xxhash64(*columns).alias("h"))
+    part = F.shiftrightunsigned(F.shiftrightunsigned("h", 40) * F.lit(parts).cast("long"), 24)  # as `spread`
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in groups(batches, 1):
+            for a, z in zip(at, at[1:]):
+                blob = Seen.segment(np.unique(np.asarray(b.column(1).slice(int(a), int(z - a))).view(np.uint64)), MOST_BYTES // parts)
+                yield pa.record_batch([b.column(0).slice(int(a), 1), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+    seen = _segments(hashed.select(part.cast("int").alias("bucket"), "h"), make, parts)
+    shared = keys.sparkSession.sparkContext.broadcast(seen)
+
+    @F.arrow_udf("boolean")
+    def may(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(np.asarray(h).view(np.uint64)))
+
+    return lambda *columns: may(F.xxhash64(*columns))
+
+
 def spans(
     rows: DataFrame,
     pieces: Callable[[pa.Array], tuple],

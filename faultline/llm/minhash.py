@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.anchors import filter_of
 from faultline.llm.common import components, groups, materialize, slices, stars
 from faultline.llm.words import Words, mix, windows
 
@@ -255,9 +256,10 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spots = spots.select("rep", F.xxhash64("band", "spot").alias("spot"))
     shared = materialize(spots.groupBy("spot").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = materialize(spots.join(shared, "spot").select("rep", "least"))
-    # written, so that its size is known: while it is small, only the texts of candidates are shuffled
     reps = materialize(met.select("rep").distinct())
-    texts = rows.join(reps.select(F.col("rep.k").alias("k")), "k", "left_semi").dropDuplicates(["k", "x"])
+    # the filter is asked where the texts lie, so only texts of candidates are shuffled
+    candidate = filter_of(reps, F.col("rep.k"))
+    texts = rows.where(candidate(F.col("k"))).join(reps.select(F.col("rep.k").alias("k")), "k", "left_semi").dropDuplicates(["k", "x"])
     whole = texts.select("k", "t").mapInArrow(bag_rows, "k long, bag binary, h long")
     whole = materialize(whole.select(F.struct("k", "h").alias("node"), "bag"))
     pairs = materialize(met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())

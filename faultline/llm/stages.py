@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import langid, minhash, quality, suffix
 from faultline.llm import packing as _packing
+from faultline.llm.anchors import filter_of
 from faultline.llm.common import fresh, importable, materialize
 from faultline.llm.queries import word_tokenizer
 
@@ -36,14 +37,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     importable(spark)
     found = materialize(minhash.near_texts(docs))
     mark = fresh("text_id", docs.columns)
-    # both tables that texts are joined with are written, so that no text is shuffled while they are small
     gone = materialize(found.where("NOT kept").select("doc_id", F.col("text_id").alias(mark)).distinct())
-    left = docs.withColumn(mark, F.xxhash64("text")).join(gone, ["doc_id", mark], "left_anti")
+    # the filter is asked where the texts lie, so only texts that may be gone are shuffled
+    hit = filter_of(gone, F.col("doc_id"), F.col(mark))(F.col("doc_id").cast("long"), F.col(mark))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    left = marked.where(~hit).unionAll(marked.where(hit).join(gone, ["doc_id", mark], "left_anti").select(*marked.columns))
     # ids that several of the rows left have, which are few: one row of each class stays
     group = fresh("class_hash", docs.columns)
     kept = found.where("kept AND class_hash IS NOT NULL").select("doc_id", F.col("text_id").alias(mark), F.col("class_hash").alias(group))
     several = materialize(kept.groupBy("doc_id", group).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     repeated = materialize(kept.join(several, ["doc_id", group]).distinct())
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
     once = left.join(repeated, ["doc_id", mark], "left_anti")
     again = left.join(repeated, ["doc_id", mark]).dropDuplicates(["doc_id", group])
     return once.select(*docs.columns).unionAll(again.select(*docs.columns))

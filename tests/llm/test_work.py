@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import common, langid, suffix
+from faultline.llm.anchors import filter_of
 
 
 def test_language_of_a_field_is_told_without_a_second_copy_of_the_text(spark):
@@ -48,3 +49,14 @@ def test_pieces_that_share_only_an_anchor_stay_out_of_the_suffix_order(monkeypat
         assert judge(window, window, (before, before), keys=(3, 3)) == []
     monkeypatch.setattr(suffix, "Columns", lambda *a: pytest.fail("a piece without a partner was put in order"))
     assert judge(noise(20) + gram + noise(20), noise(20) + gram + noise(20), (20, 20)) == []
+
+
+def test_a_filter_of_rows_lets_all_of_them_through(spark):
+    common.importable(spark)
+    keys = spark.range(0, 4000, 2).select(F.struct(F.col("id").alias("k")).alias("rep"))
+    rows = spark.range(4000).unionAll(spark.sql("SELECT cast(NULL AS bigint)"))
+    through = {r.id for r in rows.where(filter_of(keys, F.col("rep.k"))(F.col("id"))).collect()}
+    assert through >= set(range(0, 4000, 2)) and len(through) < 2200
+    assert rows.where(filter_of(keys.limit(0), F.col("rep.k"))(F.col("id"))).isEmpty()
+    two = filter_of(spark.sql("SELECT * FROM VALUES (1L, 5L), (2L, NULL) AS t(a, b)"), F.col("a"), F.col("b"))
+    assert [r.b for r in spark.sql("SELECT * FROM VALUES (1L, 5L), (1L, 6L), (2L, NULL) AS t(a, b)").where(two(F.col("a"), F.col("b"))).collect()] == [5, None]
