@@ -11,6 +11,7 @@ side of the join. A window that covers both halves is their exact encoding, so t
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
@@ -23,11 +24,25 @@ from faultline.llm.words import Words
 LEAF = 512
 #: Characters on either side of a join that are encoded again at first.
 REACH = 48
+#: Words of plain letters that are encoded as one text.
+JOINED = 256
 #: Distinct words whose ids a worker remembers; then it starts anew. Results don't depend on it.
 REMEMBERED = 1_200_000
 
 #: Letters of Latin blocks that are their own composed form, then common marks (no apostrophe): their split is beyond doubt.
-_PLAIN = re.compile("([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@[-`{-~]*)")
+_PLAIN = "([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@[-`{-~]*)"
+#: A word closed by a line feed: its letters and marks, or it as a whole.
+_SPLIT = re.compile(f"{_PLAIN}\n|([^\n]+)\n")
+
+
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the lists, and the lists' offsets."""
+    ends = np.cumsum([0, *map(len, lists)])
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, ends[-1]), ends
+
+
+def _numbers(kinds: list[str], words: list[str]) -> np.ndarray:
+    return np.fromiter(map(dict(zip(kinds, range(len(kinds)))).__getitem__, words), np.int64, len(words))
 
 
 class Encoder:
@@ -37,8 +52,11 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         spec = json.loads(self.full.to_str())
         spec["normalizer"] = None
-        spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][1]
+        spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
         self.short = Tokenizer.from_str(json.dumps(spec))
+        suffix, names = spec["model"]["end_of_word_suffix"], self.full.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)  # tokens that end a word
+        self.last[[i for name, i in names.items() if suffix and name.endswith(suffix)]] = True
         for t in (self.full, self.short):
             t.no_truncation()
             t.no_padding()
@@ -49,27 +67,45 @@ class Encoder:
         self.begin = self.length = np.zeros(0, np.int64)  # of their ids
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Encode words not seen before: those of letters and marks by parts, each distinct part once."""
-        parts: dict[str, list[int]] = {}
-        split = [_PLAIN.fullmatch(w) if len(w) <= LEAF else None for w in words]
-        letters = list({m[1].lower() for m in split if m})
-        parts = dict(zip(letters, (e.ids for e in self.short.encode_batch_fast(letters, add_special_tokens=False))))
-        marks = list({m[2] for m in split if m})
-        tails = dict(zip(marks, (e.ids for e in self.full.encode_batch_fast(marks, add_special_tokens=False))))
-        rest = [w for w, m in zip(words, split) if not m and len(w) <= LEAF]
-        others = dict(zip(rest, (e.ids for e in self.full.encode_batch_fast(rest, add_special_tokens=False))))
-        ids, sizes = [], np.zeros(len(words), np.int64)
-        for i, (w, m) in enumerate(zip(words, split)):
-            new = parts[m[1].lower()] + tails[m[2]] if m else others[w] if len(w) <= LEAF else self.tree(w)
-            ids += new
-            sizes[i] = len(new)
+    def learn(self, keys: np.ndarray, raw: bytes) -> None:
+        """Encode words not seen before, each closed by a line feed in `raw`: those of letters and marks by parts, each distinct part once."""
+        found = _SPLIT.findall(raw.decode("utf-8", "replace"))
+        plain = np.fromiter((bool(a) and len(a) + len(b) <= LEAF for a, b, _ in found), bool, len(found))
+        split, rest = list(itertools.compress(found, plain)), ["".join(x) for x in itertools.compress(found, ~plain)]
+        letters = "\n".join([a for a, _, _ in split]).lower().split("\n") if split else []
+        kinds, marks = list(dict.fromkeys(letters)), list(dict.fromkeys(b for _, b, _ in split))
+        head, tail = self.lowered(kinds), [e.ids for e in self.full.encode_batch_fast(marks, add_special_tokens=False)]
+        brief = [w for w in rest if len(w) <= LEAF]
+        others = dict(zip(brief, (e.ids for e in self.full.encode_batch_fast(brief, add_special_tokens=False))))
+        whole = [others[w] if len(w) <= LEAF else self.tree(w) for w in rest]
+        # a word's ids are those of its letters and of its marks, or of a whole word, all in one list
+        flat, ends = _joined([*tail, *whole])
+        flat, ends = np.concatenate([head[0], flat]), np.concatenate([head[1], head[1][-1] + ends[1:]])
+        number = np.zeros((len(found), 2), np.int64)
+        number[plain, 0] = _numbers(kinds, letters)
+        number[plain, 1] = len(kinds) + _numbers(marks, [b for _, b, _ in split])
+        number[~plain, 0] = len(kinds) + len(marks) + np.arange(len(rest))
+        sizes = np.diff(ends)[number]
+        sizes[~plain, 1] = 0
+        number, size = number.ravel(), sizes.ravel()
+        at = np.repeat(ends[number] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        sizes = sizes.sum(axis=1)
         starts = np.cumsum(sizes) - sizes + len(self.ids)
-        at = np.searchsorted(self.keys, keys)
+        here = np.searchsorted(self.keys, keys)
         self.keys, self.begin, self.length = (
-            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.begin, starts), (self.length, sizes))
+            np.insert(old, here, new) for old, new in ((self.keys, keys), (self.begin, starts), (self.length, sizes))
         )
-        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        self.ids = np.concatenate([self.ids, flat[at]])
+
+    def lowered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of plain letters in lower case, and the words' offsets: many are encoded as one text and told apart by their last tokens."""
+        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids, _ = _joined([e.ids for e in self.short.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+        if len(ends) != len(words) + 1 or ends[-1] != len(ids):  # a vocabulary in which some word has no last token
+            return _joined([e.ids for e in self.short.encode_batch_fast(words, add_special_tokens=False)])
+        return ids, ends
 
     def tree(self, text: str) -> list[int]:
         """Ids of one unsplit text."""
@@ -126,9 +162,12 @@ class Encoder:
         if len(self.keys) > REMEMBERED:
             self.forget()
         new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
-        raw = words.data.tobytes()
-        spans = zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())
-        self.learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+        starts, size = words.starts[at[new]], words.ends[at[new]] - words.starts[at[new]] + 1
+        where = np.repeat(starts - (np.cumsum(size) - size), size)
+        where += np.arange(len(where))
+        raw = words.data[np.minimum(where, len(words.data) - 1)]
+        raw[np.cumsum(size) - 1] = ord("\n")  # which no word holds
+        self.learn(keys[new], raw.tobytes())
         pick = np.searchsorted(self.keys, keys)[back]
         lengths = self.length[pick]
         ends = np.concatenate([[0], np.cumsum(lengths)])

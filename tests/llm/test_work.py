@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, langid, suffix
+from faultline.llm import common, langid, queries, suffix
 from faultline.llm.anchors import filter_of
 
 
@@ -60,3 +60,28 @@ def test_a_filter_of_rows_lets_all_of_them_through(spark):
     assert rows.where(filter_of(keys.limit(0), F.col("rep.k"))(F.col("id"))).isEmpty()
     two = filter_of(spark.sql("SELECT * FROM VALUES (1L, 5L), (2L, NULL) AS t(a, b)"), F.col("a"), F.col("b"))
     assert [r.b for r in spark.sql("SELECT * FROM VALUES (1L, 5L), (1L, 6L), (2L, NULL) AS t(a, b)").where(two(F.col("a"), F.col("b"))).collect()] == [5, None]
+
+
+def test_words_of_letters_are_encoded_many_at_a_time():
+    from faultline.llm.bpe import JOINED, Encoder
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    rng, e = random.Random(4), Encoder(queries.word_tokenizer())
+    e.short = Counted(e.short)
+    words = sorted({"".join(rng.choice("abcdeéüßnrstxyzAEÖ") for _ in range(rng.randint(1, 14))) + rng.choice(["", "", ".", "!!", "(;"]) for _ in range(3000)})
+    words += ["İs", "Kelvin", "it's", "x1", "a<|endoftext|>", "b" * 512, "b" * 513, "c" * 511 + "!!", "ﬁn", "é", "</w>", "a</w>"]
+    texts = ["", None, " ", *(" ".join(words[i : i + 40]) for i in range(0, len(words), 40))]
+    ids, ends = e.encode(pa.array(texts, pa.string()))
+    assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:])] == [e.full.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 0 < e.short.texts <= len(words) // JOINED + 1
+    e.last[:] = False  # as of a vocabulary whose words have no last token
+    e.forget()
+    again, same = e.encode(pa.array(texts, pa.string()))
+    assert again.tolist() == ids.tolist() and same.tolist() == ends.tolist() and e.short.texts > JOINED
