@@ -43,10 +43,11 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None) -> tuple
     key = np.concatenate([key, *(words.between(words.starts[w], words.starts[w] + n) for w, n in longer if w.any())])
     row = np.concatenate([row, *(row[w] for w, _ in longer)])
     if vocabulary is not None:
-        at = np.searchsorted(vocabulary, key)
-        at[at == len(vocabulary)] = 0
-        some = vocabulary[at] == key if len(vocabulary) else np.zeros(len(key), bool)
-        row, key = row[some], at[some].astype(np.uint64)
+        some, at = found(vocabulary, key)
+        pair = np.sort(row[some] * np.int64(max(1, len(vocabulary))) + at)  # one number for text and place
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))[: len(pair)]
+        row, key = np.divmod(pair[first], np.int64(max(1, len(vocabulary))))
+        return row, key.astype(np.uint64), np.diff(np.concatenate([first, [len(pair)]]))
     order = np.argsort(key, kind="stable")
     order = order[np.argsort(row[order], kind="stable")]
     row, key = row[order], key[order]
@@ -56,6 +57,29 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None) -> tuple
     return row[first], key[first], np.diff(np.concatenate([first, [len(key)]]))
 
 
+def found(vocabulary: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are in the sorted vocabulary, and their places there; looked for from where their first bits begin."""
+    none = np.zeros(0, np.int64)
+    if not len(vocabulary):
+        return none, none
+    bits = np.uint64(64 - min(22, len(vocabulary).bit_length()))
+    begins = np.searchsorted(vocabulary >> bits, np.arange((1 << (64 - int(bits))) + 1, dtype=np.uint64)).astype(np.int32)
+    part = (key >> bits).astype(np.int32)
+    at, end = begins[part], begins[part + 1]
+    left = np.flatnonzero(at < end)
+    at, end, key = at[left], end[left], key[left]
+    hits, places = [none], [none]
+    while len(left):
+        here = vocabulary[at]
+        same = here == key
+        hits.append(left[same])
+        places.append(at[same].astype(np.int64))
+        at += 1
+        go = np.flatnonzero((here < key) & (at < end))
+        left, at, end, key = left[go], at[go], end[go], key[go]
+    return np.concatenate(hits), np.concatenate(places)
+
+
 class Index:
     """Block-max inverted index of unit TF-IDF vectors; `vectors`: (terms, counts) of each example."""
 
@@ -123,8 +147,12 @@ class Index:
         asked[row[often >= 0], often[often >= 0]] = weights[often >= 0]
         row, term, weight = row[often < 0], terms[often < 0], weights[often < 0]
         long = self.starts[term + 1] - self.starts[term]
-        at = np.arange(long.sum()) + np.repeat(self.starts[term] - (np.cumsum(long) - long), long)
-        rare = np.bincount(np.repeat(row, long) * self.size + self.places[at], np.repeat(weight, long) * self.weights[at], n * self.size)
+        at = np.repeat(self.starts[term] - (np.cumsum(long) - long), long)
+        at += np.arange(len(at))
+        spot, worth = np.repeat(row * self.size, long), np.repeat(weight, long)
+        spot += self.places[at]
+        worth *= self.weights[at]
+        rare = np.bincount(spot, worth, n * self.size)
         rare = rare.reshape(n, self.blocks, BLOCK)
         bound = asked @ self.most + rare.max(axis=2)
         places, cosines = np.full((n, K), self.size, np.int64), np.zeros((n, K))
@@ -134,6 +162,11 @@ class Index:
             place = np.broadcast_to(np.arange(block * BLOCK, (block + 1) * BLOCK), cosine.shape)
             if but is not None:
                 cosine[place == but[texts, None]] = 0
+            some = cosine.max(axis=1) >= np.maximum(cosines[texts, -1], 1e-12)  # the others change nothing
+            if not some.all():
+                texts, cosine, place = texts[some], cosine[some], place[some]
+            if not len(texts):
+                return
             place = np.concatenate([places[texts], np.where(cosine > 0, place, self.size)], axis=1)
             cosine = np.concatenate([cosines[texts], np.maximum(cosine, 0)], axis=1)
             best = np.lexsort((place, -cosine), axis=1)[:, :K]

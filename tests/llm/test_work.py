@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, langid, queries, suffix
+from faultline.llm import common, langid, queries, suffix, toxicity
 from faultline.llm.anchors import filter_of
 
 
@@ -85,3 +85,14 @@ def test_words_of_letters_are_encoded_many_at_a_time():
     e.forget()
     again, same = e.encode(pa.array(texts, pa.string()))
     assert again.tolist() == ids.tolist() and same.tolist() == ends.tolist() and e.short.texts > JOINED
+
+
+def test_places_in_the_vocabulary():
+    rng = np.random.default_rng(6)
+    for size, top in ((0, 64), (1, 64), (2, 64), (5000, 64), (300, 9), (3000, 30)):
+        vocabulary = np.unique(rng.integers(0, 2**top - 1, size, dtype=np.uint64, endpoint=True))
+        key = np.concatenate([vocabulary, rng.integers(0, 2**64 - 1, 2000, dtype=np.uint64, endpoint=True), rng.integers(0, 600, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        rng.shuffle(key)
+        some, at = toxicity.found(vocabulary, key)
+        assert dict(zip(some.tolist(), at.tolist())) == {i: int(np.searchsorted(vocabulary, k)) for i, k in enumerate(key) if k in vocabulary}
+        assert len(some) == len(set(some.tolist()))
