@@ -7,8 +7,9 @@ two bags agree in a register with a probability that is their weighted Jaccard s
 time is past every register of its bag, so a bag costs about as many points as it has shingles.
 
 Registers are banded. Bags that share a band are candidates, which are verified on the whole bags: first every bag of a bucket
-against the bucket's smallest. Parts that a failed pair still joins make a cluster, which is then compared in blocks: every bag
-outside the largest part with all bags of other parts, by a product of incidence matrices. Pairs are never rows there.
+against the bucket's smallest. The bags of the buckets of one smallest bag are a cluster. If some of its pairs failed, it is
+compared in blocks: every bag outside the largest part that passed pairs join with all bags of other parts, by a product of
+incidence matrices. Pairs are never rows there.
 A bag is named by its smallest key and its hash, so rows of one key and different texts are told apart.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.anchors import filter_of
-from faultline.llm.common import components, groups, materialize, slices, stars
+from faultline.llm.common import groups, materialize, slices, stars
 from faultline.llm.words import Words, mix, windows
 
 WIDTH, LEAST = 5, 0.8
@@ -208,17 +209,20 @@ def elements(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 NODE = "struct<k: bigint, h: bigint>"
 
 
-def late_links(failed: DataFrame, joined: DataFrame, reps: DataFrame, whole: DataFrame) -> DataFrame:
-    """Links (a, b) between parts that a failed pair joins: each cluster of such parts is compared in blocks.
+def late_links(tried: DataFrame, joined: DataFrame, whole: DataFrame) -> DataFrame:
+    """Links (a, b) between parts of a cluster, the bags that were tried against one bag, if some of them failed: in blocks.
 
-    A task has a block of the bags outside the cluster's largest part and a block of all its bags, so the bags of a cluster
-    are sent once for every BLOCK bags outside that part.
+    All bags of a bucket are in the cluster of its smallest. A task has a block of the bags outside the cluster's largest part
+    and a block of all its bags, so the bags of a cluster are sent once for every BLOCK bags outside that part.
     """
-    cluster = components(failed).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
-    member = reps.join(joined, F.col("rep") == F.col("u"), "left").select("rep", F.coalesce("v", "rep").alias("c"))
-    member = materialize(member.join(materialize(cluster), "c"))
+    open_ = materialize(tried.where("NOT ok").select(F.col("a").alias("cluster")).distinct())
+    member = tried.select(F.col("a").alias("cluster"), F.col("b").alias("rep")).join(open_, "cluster")
+    member = member.unionAll(open_.select("cluster", F.col("cluster").alias("rep")))
+    member = member.join(joined, F.col("rep") == F.col("u"), "left").select("cluster", "rep", F.coalesce("v", "rep").alias("c"))
+    member = materialize(member)
     main = member.groupBy("cluster", "c").agg(F.count("*").alias("m")).groupBy("cluster")
-    main = materialize(main.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")))
+    main = main.agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"))
+    main = materialize(main.where("most < m"))
 
     def blocks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
@@ -262,21 +266,14 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     texts = rows.where(candidate(F.col("k"))).join(reps.select(F.col("rep.k").alias("k")), "k", "left_semi").dropDuplicates(["k", "x"])
     whole = texts.select("k", "t").mapInArrow(bag_rows, "k long, bag binary, h long")
     whole = materialize(whole.select(F.struct("k", "h").alias("node"), "bag"))
-    pairs = materialize(met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
+    pairs = met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     left = pairs.join(whole.select(F.col("node").alias("a"), F.col("bag").alias("p")), "a")
     tried = left.join(whole.select(F.col("node").alias("b"), F.col("bag").alias("q")), "b").select("a", "b", "p", "q")
     tried = materialize(tried.mapInArrow(verify, f"a {NODE}, b {NODE}, ok boolean"))
     joined = stars(tried.where("ok"))
-
-    def part(name: str) -> DataFrame:
-        return joined.select(F.col("u").alias(name), F.col("v").alias(f"of_{name}"))
-
-    failed = tried.where("NOT ok").join(part("a"), "a", "left").join(part("b"), "b", "left")
-    failed = failed.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
-    failed = materialize(failed.distinct())
     of_class = classes.join(joined, F.col("rep") == F.col("u"), "left").select(*bag, F.coalesce("v", "rep").alias("c"))
-    if not failed.isEmpty():
-        merged = stars(late_links(failed, joined, reps, whole))
+    if not tried.where("NOT ok").isEmpty():
+        merged = stars(late_links(tried, joined, whole).distinct())
         of_class = of_class.join(merged, F.col("c") == F.col("u"), "left").select(*bag, F.coalesce("v", "c").alias("c"))
     of_class = materialize(of_class.select(*bag, F.col("c.k").alias("class_id"), F.col("c.h").alias("g")))
     found = signed.select("k", "x", *bag).join(of_class, bag, "left").where("n > 0 AND k IS NOT NULL")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, langid, queries, suffix, toxicity
+from faultline.llm import common, langid, minhash, queries, suffix, toxicity
 from faultline.llm.anchors import filter_of
 
 
@@ -96,3 +96,24 @@ def test_places_in_the_vocabulary():
         some, at = toxicity.found(vocabulary, key)
         assert dict(zip(some.tolist(), at.tolist())) == {i: int(np.searchsorted(vocabulary, k)) for i, k in enumerate(key) if k in vocabulary}
         assert len(some) == len(set(some.tolist()))
+
+
+def test_components_of_repeated_edges_have_a_row_for_each_node(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (3, 3), (2, 4), (4, 2), (5, 6)], "a long, b long")
+    assert sorted(map(tuple, common.stars(edges).collect())) == [(2, 1), (4, 1), (6, 5)]
+    assert common.stars(edges.where("a = b")).isEmpty()
+
+
+def test_clusters_of_failed_pairs_are_found_without_rounds_of_their_own(spark, monkeypatch):
+    """Rounds write tables, each a job of every partition: only pairs that passed, and late links, are joined by rounds."""
+    rng = random.Random(8)
+    text, rows = [f"v{rng.randrange(10**6)}" for _ in range(200)], []
+    for i in range(120):
+        text[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(text)))
+    runs, stars = [], common.stars
+    for module in (common, minhash):
+        monkeypatch.setattr(module, "stars", lambda *a: runs.append(1) or stars(*a))
+    common.importable(spark)
+    found = minhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(found) == 120 and {r.class_id for r in found} == {0} and len(runs) == 2
