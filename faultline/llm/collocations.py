@@ -10,7 +10,7 @@ nothing: results come from the last pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ SHARDS = 4
 #: Bits of a bitmap for each frequent phrase, and of the largest bitmap (32 MB). Above some 30 million frequent phrases a bitmap
 #: fills up: then more phrases are counted, in proportion to the text at most, with the same results.
 BITS_EACH, MOST_BITS = 16, 28
+#: Bytes of text that words are looked for in at once, for mining and for counting, and occurrences that are counted at once: a
+#: worker's memory is in proportion to them.
+MINED_BYTES, COUNTED_BYTES, OCCURRENCES = 256 << 10, 512 << 10, 1 << 19
 #: Parts that a language's candidates are ranked in before their best are ranked together.
 PARTS = 64
 
@@ -88,33 +91,54 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def mine(docs: DataFrame, level: int, shorter: np.ndarray | None) -> DataFrame:
-    """(cell, key, n): occurrences of the phrases of `level` words in each cell, a shard's part of a language.
+def counts(cells: list[int], codes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each key in each cell, from the numbers of cells and the keys that stand there."""
+    code, key = np.concatenate(codes), np.concatenate(keys)
+    key = key[np.argsort(code.astype(np.uint16) if len(cells) < 1 << 16 else code, kind="stable")]
+    ends = np.cumsum(np.bincount(code, minlength=len(cells)))
+    for cell, a, z in zip(cells, [0, *ends], ends):
+        if a < z:
+            found, n = np.unique(key[a:z], return_counts=True)
+            yield pa.record_batch(
+                [pa.array(np.full(len(found), cell, np.uint64).view(np.int64)), pa.array(found.view(np.int64)), pa.array(n)], ["cell", "key", "n"]
+            )
 
-    A phrase is counted only if both phrases of one word less in it may be frequent in the cell.
-    """
-    known = docs.sparkSession.sparkContext.broadcast(shorter)
+
+def miner(level: int, shorter: Callable[[], np.ndarray | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What `mine` runs on (cell, text): counts from many small steps over the text are folded together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
+        number: dict[int, int] = {}
+        known, codes, keys, waiting = shorter(), [], [], 0
+        for b in slices(batches, "t", MINED_BYTES):
             p = Phrases(b.column(1))
             cells = np.asarray(b.column(0)).view(np.uint64)
             at = p.places(level)
             if shorter_than := level - 1:
                 part = p.hashes(shorter_than)
                 cell = cells[p.row[at]]
-                at = at[passes(known.value, part[at] ^ cell) & passes(known.value, part[at + 1] ^ cell)]
-            key, row = p.hashes(level)[at], p.row[at]
-            distinct, codes = np.unique(cells, return_inverse=True)
-            code = codes[row]
-            for i, cell in enumerate(distinct):
-                found, n = np.unique(key[code == i], return_counts=True)
-                if len(found):
-                    yield pa.record_batch(
-                        [pa.array(np.full(len(found), cell).view(np.int64)), pa.array(found.view(np.int64)), pa.array(n)], ["cell", "key", "n"]
-                    )
-
-    rows = docs.select("cell", "t").mapInArrow(run, "cell long, key long, n long")
+                at = at[passes(known, part[at] ^ cell) & passes(known, part[at + 1] ^ cell)]
+            distinct, code = np.unique(cells, return_inverse=True)
+            code = np.array([number.setdefault(c, len(number)) for c in distinct.tolist()], np.uint32)[code]
+            codes.append(code[p.row[at]])
+            keys.append(p.hashes(level)[at])
+            waiting += len(at)
+            if waiting >= OCCURRENCES:
+                yield from counts(list(number), codes, keys)
+                codes, keys, waiting = [], [], 0
+        if waiting:
+            yield from counts(list(number), codes, keys)
+
+    return run
+
+
+def mine(docs: DataFrame, level: int, shorter: np.ndarray | None) -> DataFrame:
+    """(cell, key, n): occurrences of the phrases of `level` words in each cell, a shard's part of a language.
+
+    A phrase is counted only if both phrases of one word less in it may be frequent in the cell.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(shorter)
+    rows = docs.select("cell", "t").mapInArrow(miner(level, lambda: known.value), "cell long, key long, n long")
     return rows.groupBy("cell", "key").agg(F.sum("n").alias("n"))
 
 
@@ -146,7 +170,7 @@ def counted(docs: DataFrame, chosen: np.ndarray, longest: int = LONGEST) -> Data
     known = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", COUNTED_BYTES):
             p = Phrases(b.column(2))
             w = p.words
             lang = b.column(0).dictionary_encode()

@@ -1,13 +1,14 @@
 """How much the operators send and work out: their results are held against brute force in test_operators.py."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, langid, minhash, queries, suffix, toxicity
+from faultline.llm import collocations, common, langid, minhash, queries, suffix, toxicity
 from faultline.llm.anchors import filter_of
 
 
@@ -117,3 +118,26 @@ def test_clusters_of_failed_pairs_are_found_without_rounds_of_their_own(spark, m
     common.importable(spark)
     found = minhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len(found) == 120 and {r.class_id for r in found} == {0} and len(runs) == 2
+
+
+def test_words_that_stand_in_many_small_texts_are_counted_together(spark, monkeypatch):
+    """A worker looks for words in little text at once, and counts what it found in many such steps together."""
+    monkeypatch.setattr(collocations, "MINED_BYTES", 64)
+    texts = pa.array(["Aa bb aa bb. cc", None, "aa bb, dd", "", "bb aa bb"] * 20)
+    cells = pa.array([5, 5, -6, 5, 7] * 20, pa.int64())
+    batch = pa.record_batch([cells, texts], ["cell", "t"])
+
+    def mined(level, shorter, most):
+        monkeypatch.setattr(collocations, "OCCURRENCES", most)
+        steps = list(collocations.miner(level, lambda: shorter)(iter([batch, batch])))
+        total = Counter()
+        for b in steps:
+            for cell, key, n in zip(*(c.to_pylist() for c in b.columns)):
+                total[cell, key] += n
+        return total, sum(b.num_rows for b in steps)
+
+    every = np.full(4096, 255, np.uint8)
+    for level, expected in ((1, {5: [80, 80, 40], -6: [40, 40, 40], 7: [80, 40]}), (2, {5: [80, 40], -6: [40], 7: [40, 40]})):
+        total, rows = mined(level, every, 1 << 19)
+        assert rows == len(total) and total == mined(level, every, 1)[0]
+        assert {c: sorted((n for (cell, _), n in total.items() if cell == c), reverse=True) for c in expected} == expected
