@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import groups, materialize, slices
+from faultline.llm.common import STEP_BYTES, groups, materialize, slices
 from faultline.llm.lm import packed, spread, unpacked
 from faultline.llm.words import mix, sums
 
@@ -23,6 +24,10 @@ from faultline.llm.words import mix, sums
 MOST_BYTES, ITEM_BITS, PROBES = 48 << 20, 10, 3
 #: Distinct anchors a task gathers before it sends them; bytes of pieces it gathers.
 GATHERED, PIECE_BYTES = 3_000_000, 3 << 20
+#: Bytes of text in which pieces are looked for at once; that takes some seventy times as much memory.
+FOUND_BYTES = 512 << 10
+#: Pieces of a bucket that a task puts in order at once, whole anchors.
+SHARE = 1 << 17
 #: Rows that a segment of a filter of rows is made of.
 SEGMENT_ROWS = 500_000
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -121,7 +126,7 @@ def repeated(rows: DataFrame, pieces: Callable[[pa.Array], tuple], parts: int, b
                 )
             held.clear()
 
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", FOUND_BYTES):
             found = pieces(b.column(2))[0]
             key = found.key
             if by_text:
@@ -181,6 +186,58 @@ def filter_of(keys: DataFrame, *columns: Column) -> Callable[..., Column]:
     return lambda *columns: may(F.xxhash64(*columns))
 
 
+def routed(
+    batches: Iterator[pa.RecordBatch], pieces: Callable[[pa.Array], tuple], has: Callable[[np.ndarray], np.ndarray], parts: int
+) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob): the pieces whose anchor passes, packed by its hash range.
+
+    They are looked for in little text at once, and sent together for as much as a step has elsewhere.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def passing(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        found, data, first, last = pieces(b.column(2))
+        some = np.flatnonzero(has(found.key))
+        first, last, row = first[some], last[some], found.row[some]
+        size = last - first
+        total, down = sums(data)
+        name = mix((total[last] - total[first]) * down[first] + size.astype(np.uint64))
+        start = found.first[some]
+        units, shift = found.last[some] + found.length - start, found.at[some] - start
+        where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return (
+            np.array(b.column(0), "<i8"), np.array(b.column(1), "<i8"), row, found.key[some],
+            (start - found.base[row]).astype("<u4"), shift.astype("<u1"), size.astype("<u4"), name, units.astype("<u2"), data[where],
+        )
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        before = np.cumsum([0, *(len(x[0]) for x in held)])
+        row = np.concatenate([x[2] + n for x, n in zip(held, before)])
+        ids, hashes, _, key, start, shift, size, name, units, data = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        begin = np.cumsum(size, dtype=np.int64) - size
+        cut = np.searchsorted(spread(key[order], parts), np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cut)):
+            x = order[cut[p] : cut[p + 1]]
+            n = size[x].astype(np.int64)
+            where = np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            kinds, doc = np.unique(row[x], return_inverse=True)
+            blob = packed(ids[kinds], hashes[kinds], key[x], doc.astype("<u4"), start[x], shift[x], size[x], data[where], name[x], units[x])
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+    text = 0
+    for b in slices(batches, "t", FOUND_BYTES):
+        n = pc.sum(pc.binary_length(b.column(2))).as_py() or 0
+        if held and text + n > STEP_BYTES:
+            yield from flush()
+            text = 0
+        held.append(passing(b))
+        text += n
+    if held:
+        yield from flush()
+
+
 def spans(
     rows: DataFrame,
     pieces: Callable[[pa.Array], tuple],
@@ -198,39 +255,33 @@ def spans(
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
     seen = spark.sparkContext.broadcast(repeated(rows, pieces, parts, by_text))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
-            found, data, first, last = pieces(b.column(2))
-            some = np.flatnonzero(seen.value.has(found.key))
-            some = some[np.argsort(found.key[some], kind="stable")]
-            key, row = found.key[some], found.row[some]
-            ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(1))
-            cut = np.searchsorted(spread(key, parts), np.arange(parts + 1))
-            size = (last - first)[some]
-            total, down = sums(data)
-            name = mix((total[last[some]] - total[first[some]]) * down[first[some]] + size.astype(np.uint64))
-            units = found.last[some] + found.length - found.first[some]
-            base = found.base[row]
-            for p in np.flatnonzero(np.diff(cut)):
-                a, z = cut[p], cut[p + 1]
-                n = size[a:z]
-                where = np.repeat(first[some[a:z]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                kinds, doc = np.unique(row[a:z], return_inverse=True)
-                x = some[a:z]
-                blob = packed(
-                    ids[kinds].astype("<i8"), hashes[kinds].astype("<i8"), key[a:z], doc.astype("<u4"),
-                    (found.first[x] - base[a:z]).astype("<u4"), (found.at[x] - found.first[x]).astype("<u1"), n.astype("<u4"), data[where],
-                    name[a:z], units[a:z].astype("<u2"),
-                )
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, at in groups(batches, 1):
-            for a, z in zip(at, at[1:]):
-                all_ = [unpacked(x.as_buffer(), "<i8", "<i8", "<u8", "<u4", "<u4", "<u1", "<u4", "<u1", "<u8", "<u2") for x in b.column(1).slice(int(a), int(z - a))]
-                k, h = (np.concatenate([x[i][x[3]] for x in all_]) for i in (0, 1))
-                key, start, shift, size, name, units = (np.concatenate([x[i] for x in all_]) for i in (2, 4, 5, 6, 8, 9))
-                data = np.concatenate([x[7] for x in all_])
+    sent = rows.mapInArrow(lambda batches: routed(batches, pieces, seen.value.has, parts), "bucket int, blob binary")
+    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(lambda batches: compared(batches, judge, by_text), "k long, h long, spans binary")
+    return materialize(found)
+
+
+def shares(blobs: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pieces of a bucket, SHARE or about as many at a time, whole anchors: k, h, key, start, shift, size, name, units, data."""
+    all_ = [unpacked(x.as_buffer(), "<i8", "<i8", "<u8", "<u4", "<u4", "<u1", "<u4", "<u1", "<u8", "<u2") for x in blobs]
+    ends = [np.concatenate([[0], np.cumsum(x[6], dtype=np.int64)]) for x in all_]
+    low, high = (int(f(x[2][i] for x in all_)) for f, i in ((min, 0), (max, -1)))  # a blob's keys are in order
+    ways = max(1, -(-sum(len(x[2]) for x in all_) // SHARE))
+    bounds = np.array([low + (high - low) * i // ways for i in range(ways)] + [high], np.uint64)
+    cuts = [np.append(np.searchsorted(x[2], bounds[:-1]), len(x[2])) for x in all_]
+    for i in range(ways):
+        own = [(x, e, int(c[i]), int(c[i + 1])) for x, e, c in zip(all_, ends, cuts) if c[i] < c[i + 1]]
+        if own:
+            k, h = (np.concatenate([x[j][x[3][a:z]] for x, _, a, z in own]) for j in (0, 1))
+            rest = (np.concatenate([x[j][a:z] for x, _, a, z in own]) for j in (2, 4, 5, 6, 8, 9))
+            yield k, h, *rest, np.concatenate([x[7][e[a] : e[z]] for x, e, a, z in own])
+
+
+def compared(batches: Iterator[pa.RecordBatch], judge: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], by_text: bool) -> Iterator[pa.RecordBatch]:
+    """(k, h, spans): what `spans` tells of the buckets."""
+    for b, at in groups(batches, 1):
+        for a, z in zip(at, at[1:]):
+            for k, h, key, start, shift, size, name, units, data in shares(b.column(1).slice(int(a), int(z - a))):
                 order = np.lexsort((start, h, k, name, key))
                 new = np.ones(len(order), bool)
                 new[1:] = (key[order[1:]] != key[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
@@ -264,10 +315,6 @@ def spans(
                         yield from _by_document(k[part][piece], h[part][piece], lo, hi)
                     done = end
 
-    sent = rows.mapInArrow(send, "bucket int, blob binary")
-    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "k long, h long, spans binary")
-    return materialize(found)
-
 
 def _by_document(k: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((hi, lo, h, k))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from faultline.llm import langid, minhash, quality, suffix
 from faultline.llm import packing as _packing
 from faultline.llm.anchors import filter_of
-from faultline.llm.common import fresh, importable, materialize
+from faultline.llm.common import fresh, importable, materialize, small_batches
 from faultline.llm.queries import word_tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the documents name; all of them if they name none."""
-    importable(spark)
+    _ready(spark)
     model = langid.learn(docs)
     if not model[0]:
         return docs
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts, texts without a word and rows without a doc_id stay. Rows of one doc_id are judged each by its own text;
     of those that are alike one stays. An empty table stays empty; all columns are returned.
     """
-    importable(spark)
+    _ready(spark)
     found = materialize(minhash.near_texts(docs))
     mark = fresh("text_id", docs.columns)
     gone = materialize(found.where("NOT kept").select("doc_id", F.col("text_id").alias(mark)).distinct())
@@ -56,15 +56,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that documents before them hold; one may be left empty."""
-    importable(spark)
+    _ready(spark)
     return _counted(suffix.stripped(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in token sequences."""
-    importable(spark)
+    _ready(spark)
     return _packing.pack(docs, word_tokenizer())
 
 
+def _ready(spark: SparkSession) -> None:
+    importable(spark)
+    small_batches(spark)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs

@@ -40,7 +40,7 @@ _grown: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the ratio and of its inverse; a worker keeps the longest it has needed."""
+    """Powers of the ratio and of its inverse; a task keeps the longest it has needed."""
     if n > len(_grown[0]):
         size = (n + (1 << 18)) >> 18 << 18
         for i, x in enumerate((_RATIO, pow(_RATIO, -1, 1 << 64))):
@@ -50,6 +50,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _grown[0][:n], _grown[1][:n]
 
 
+def forget() -> None:
+    """Let go of the powers, which a later task of other steps may not need."""
+    _grown[:] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import collocations, common, langid, minhash, queries, suffix, toxicity
+from faultline.llm import anchors, collocations, common, langid, minhash, queries, relative, stages, suffix, toxicity, words
 from faultline.llm.anchors import filter_of
 
 
@@ -31,6 +31,13 @@ def test_a_task_gives_its_memory_back(monkeypatch):
     assert sum(b.num_rows for b, _ in common.groups(iter([batch]), 1)) == 3 and calls == [1, 1]
 
 
+def test_a_task_keeps_no_powers_for_the_next():
+    words.powers(1 << 20)
+    common.release()
+    assert not len(words._grown[0]) and not len(words._grown[1])
+    assert words.powers(3)[0].tolist() == [1, words._RATIO, words._RATIO**2 % 2**64]
+
+
 def test_pieces_that_share_only_an_anchor_stay_out_of_the_suffix_order(monkeypatch):
     rng = random.Random(2)
 
@@ -52,6 +59,82 @@ def test_pieces_that_share_only_an_anchor_stay_out_of_the_suffix_order(monkeypat
     assert judge(noise(20) + gram + noise(20), noise(20) + gram + noise(20), (20, 20)) == []
 
 
+def test_pieces_are_found_and_compared_little_at_a_time(monkeypatch):
+    """Arrays of a step are many times as large as its text: a worker finds pieces in little text, and compares few of a bucket at once."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(words[i : i + 90]) if i % 3 else " ".join(f"x{rng.randrange(10**6)}" for _ in range(90)) for i in range(300)] + ["", None, "short", " ".join(words)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.record_batch([ids, ids, pa.array(texts)], ["k", "h", "t"])
+
+    def worked(module, judge, by_text, found, share):
+        monkeypatch.setattr(anchors, "FOUND_BYTES", found)
+        monkeypatch.setattr(anchors, "SHARE", share)
+        read, most, total = [], [], {}
+
+        def pieces(column):
+            read.append(pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0)
+            return module.pieces(column)
+
+        def judged(key, *rest):
+            most.append(len(key))
+            return judge(key, *rest)
+
+        sent = list(anchors.routed(iter([batch, batch.slice(0, 0)]), pieces, lambda key: key % np.uint64(5) > 0, 3))
+        sent.sort(key=lambda b: b.column(0)[0].as_py())
+        for b in anchors.compared(iter(sent), judged, by_text):
+            for k, h, raw in zip(*(c.to_pylist() for c in b.columns)):
+                assert k == h
+                total.setdefault(k, set()).update(map(tuple, np.frombuffer(raw, "<u4").reshape(-1, 2).tolist()))
+        return total, len(sent), max(read), max(most)
+
+    for module, judge, by_text in ((suffix, suffix.repeats, True), (relative, relative.parse, False)):
+        whole, blobs, all_bytes, together = worked(module, judge, by_text, 1 << 30, 1 << 30)
+        parts, same, most_bytes, few = worked(module, judge, by_text, 4000, 50)
+        assert {k: units(v) for k, v in parts.items()} == {k: units(v) for k, v in whole.items()} and len(whole) > 100
+        assert same == blobs == 3 and most_bytes <= 4000 < all_bytes and few < together
+
+
+def units(found):
+    return {x for a, z in found for x in range(a, z)}
+
+
+def test_a_group_of_many_batches_is_put_together_once(monkeypatch):
+    joined, concat = [], pa.concat_batches
+    monkeypatch.setattr(common.pa, "concat_batches", lambda x: joined.append(sum(b.num_rows for b in x)) or concat(x))
+    keys = [None, None, 1, 1, *[2] * 60, 3, 4, 4]
+    rows = pa.record_batch([pa.array(keys, pa.int64()), pa.array(range(len(keys)))], ["k", "v"])
+    for size in (1, 2, 3, 5, 100):
+        cut = [rows.slice(i, size) for i in range(0, len(keys), size)]
+        joined.clear()
+        got = [(set(x.column(0).to_pylist()), x.column(1).to_pylist()) for b, at in common.groups(iter(cut), 1) for x in (b.slice(int(a), int(z - a)) for a, z in zip(at, at[1:]))]
+        assert got == [({None}, [0, 1]), ({1}, [2, 3]), ({2}, list(range(4, 64))), ({3}, [64]), ({4}, [65, 66])]
+        assert sum(joined) <= 3 * len(keys)
+
+
+def test_stages_send_rows_to_workers_in_batches_of_bounded_bytes(spark):
+    def largest(df):
+        def sizes(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+        return df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    setting = common.BATCH_SETTING
+    before = spark.conf.get(setting) if setting in spark.conf.getAll else None
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('a b ', 1000) AS text")
+    try:
+        spark.conf.set(setting, str(8 << 20))
+        stages.repeated_strings(spark, docs.limit(0), "")
+        assert spark.conf.get(setting) == str(8 << 20)  # a session's own number stays
+        spark.conf.unset(setting)
+        assert largest(docs) > 2 * common.BATCH_BYTES
+        stages.repeated_strings(spark, docs.limit(0), "")
+        assert largest(docs) < 2 * common.BATCH_BYTES
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def test_a_filter_of_rows_lets_all_of_them_through(spark):
     common.importable(spark)
     keys = spark.range(0, 4000, 2).select(F.struct(F.col("id").alias("k")).alias("rep"))
