@@ -23,11 +23,11 @@ from faultline.llm.words import mix, sums
 #: Largest filter, bits for each anchor, and probes.
 MOST_BYTES, ITEM_BITS, PROBES = 48 << 20, 10, 3
 #: Distinct anchors a task gathers before it sends them; bytes of pieces it gathers.
-GATHERED, PIECE_BYTES = 3_000_000, 3 << 20
+GATHERED, PIECE_BYTES = 3_000_000, 1 << 20
 #: Bytes of text in which pieces are looked for at once; that takes some seventy times as much memory.
 FOUND_BYTES = 512 << 10
 #: Pieces of a bucket that a task puts in order at once, whole anchors.
-SHARE = 1 << 17
+SHARE = 1 << 15
 #: Rows that a segment of a filter of rows is made of.
 SEGMENT_ROWS = 500_000
 _STEP = np.uint64(0xD1342543DE82EF95)

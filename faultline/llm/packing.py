@@ -27,6 +27,8 @@ from faultline.llm.common import materialize, slices
 
 SIZE, END = 2048, 1
 GRAIN = 8
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 1 << 20
 #: Documents whose ranks one window works out.
 SLICE_ROWS = 20_000
 
@@ -37,7 +39,7 @@ def lengths(docs: DataFrame, tokenizer: str, key: str, text: str, size: int = SI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", ENCODED_BYTES):
             ids, ends = e.encode(b.column(1))
             crcs, end = [], np.array([END], "<u4").tobytes()
             for a, z in zip(ends.tolist(), ends[1:].tolist()):
